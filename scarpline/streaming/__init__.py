@@ -1,0 +1,4 @@
+"""Reserved: every source of this project is a bounded table, so no streaming query exists.
+
+All operators are plain DataFrame transformations and keep no state between runs.
+"""
