@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A side may be broadcast only after it was counted and found at most this long.
-BROADCAST_MAX_ROWS = 200_000
+BROADCAST_MAX_ROWS = 50_000
 
 
 def session(app_name: str = "scarpline", master: str | None = None, **conf: str) -> SparkSession:
@@ -48,10 +48,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Hint a broadcast when ``df`` is measured to hold at most ``max_rows`` rows.
+    """Evaluate ``df`` once and hint a broadcast when it holds at most ``max_rows`` rows.
 
-    A longer table comes back unhinted, so the same join runs as a shuffle join under AQE.
+    The driver never receives more than ``max_rows + 1`` rows. A longer table comes back as it was,
+    unhinted, so the same join runs as a shuffle join under AQE.
     """
-    if df.limit(max_rows + 1).count() > max_rows:
+    head = df.limit(max_rows + 1).toArrow()
+    if head.num_rows > max_rows:
         return df
-    return F.broadcast(df)
+    return F.broadcast(df.sparkSession.createDataFrame(head, schema=df.schema))
