@@ -52,9 +52,11 @@ def profile_nulls(df: DataFrame) -> NullProfile:
     return NullProfile(row[0], dict(zip(df.columns, row[1:])))
 
 
-def drop_null_columns(df: DataFrame, profile: NullProfile | None = None) -> DataFrame:
-    """Only the columns without any null."""
-    return keep(df, (profile or profile_nulls(df)).below(1))
+def drop_null_columns(
+    df: DataFrame, profile: NullProfile | None = None, carry: list[str] | None = None
+) -> DataFrame:
+    """Only the columns without any null; ``carry`` adds keys that were not profiled."""
+    return keep(df, [*(profile or profile_nulls(df)).below(1), *(carry or [])])
 
 
 def drop_null_rows(df: DataFrame, names: list[str] | None = None) -> DataFrame:
@@ -62,11 +64,16 @@ def drop_null_rows(df: DataFrame, names: list[str] | None = None) -> DataFrame:
 
 
 def apply_threshold(
-    df: DataFrame, threshold: int, profile: NullProfile | None = None
+    df: DataFrame, threshold: int, profile: NullProfile | None = None,
+    carry: list[str] | None = None,
 ) -> DataFrame:
-    """Columns with fewer nulls than ``threshold``, then only their complete rows."""
+    """Columns with fewer nulls than ``threshold``, then only their complete rows.
+
+    ``carry`` adds keys that were not profiled; they take no part in the choice.
+    """
     names = (profile or profile_nulls(df)).below(threshold)
-    return drop_null_rows(keep(df, names)) if names else keep(df, names)
+    kept = keep(df, [*names, *(carry or [])])
+    return drop_null_rows(kept, names) if names else kept
 
 
 def row_bounds(df: DataFrame, profile: NullProfile) -> DataFrame:
