@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scarpline import schema as S
 from scarpline.functions import lon360, months_total, shift_year
 from scarpline.operators.columns import quoted
-from scarpline.operators.nearest import with_nearest, with_nearest_date
+from scarpline.operators.nearest import Axis, load_axes, with_nearest, with_nearest_date
 
 CELL = ["scenario", "lat", "lon"]
 
@@ -28,24 +28,15 @@ def stitch(
 
     ``drop_overlap`` ends the history where the scenario starts; without it both parts are kept.
     """
-    past = history.drop("scenario")
-    starts = future.filter(F.col("scenario").isin(scenarios)).groupBy("scenario").agg(
-        F.min("time").alias("__start")
-    )
-    # One struct per scenario, at most as many as were asked for, collected into a single row.
-    known = [(row["scenario"], row["__start"]) for row in starts.collect()]
-    if not known:
-        return future.limit(0).withColumn("segment", F.lit(1))
-    copies = F.explode(F.array(*[
-        F.struct(F.lit(name).alias("scenario"), F.lit(start).alias("start"))
-        for name, start in sorted(known)
-    ]))
-    front = past.withColumn("__copy", copies)
+    wanted = future.filter(F.col("scenario").isin(scenarios))
+    copies = F.explode(F.array(*[F.lit(s) for s in scenarios]))
+    # One row per wanted scenario: the broadcast is bounded by the scenario list.
+    starts = wanted.groupBy("scenario").agg(F.min("time").alias("__start"))
+    front = history.withColumn("scenario", copies).join(F.broadcast(starts), "scenario")
     if drop_overlap:
-        front = front.filter(F.col("time") < F.col("__copy.start"))
-    front = front.withColumn("scenario", F.col("__copy.scenario")).drop("__copy")
-    return front.withColumn("segment", F.lit(0)).unionByName(
-        future.filter(F.col("scenario").isin(scenarios)).withColumn("segment", F.lit(1))
+        front = front.filter(F.col("time") < F.col("__start"))
+    return front.drop("__start").withColumn("segment", F.lit(0)).unionByName(
+        wanted.withColumn("segment", F.lit(1))
     )
 
 
@@ -82,31 +73,39 @@ def year_range(series: DataFrame) -> DataFrame:
     )
 
 
+def grid_axes(grid: DataFrame) -> dict[str, Axis | None]:
+    """Latitude, longitude and time axes of a grid or rolling table, read in one pass."""
+    return load_axes(grid, {"lat": F.col("lat"), "lon": F.col("lon"),
+                            "time": F.unix_date(F.col("time"))})
+
+
 def with_grid_cell(
-    events: DataFrame, grid: DataFrame, lat_col: str = S.LATITUDE, lon_col: str = S.LONGITUDE
+    events: DataFrame, axes: dict[str, Axis | None], lat_col: str = S.LATITUDE,
+    lon_col: str = S.LONGITUDE,
 ) -> DataFrame:
     """Adds ``grid_lat`` and ``grid_lon``, the nearest grid axes (no wrap at 360 degrees)."""
-    placed = with_nearest(events, quoted(lat_col), grid.select("lat"), "grid_lat")
-    return with_nearest(placed, lon360(quoted(lon_col)), grid.select("lon"), "grid_lon")
+    placed = with_nearest(events, quoted(lat_col), axes["lat"], "grid_lat")
+    return with_nearest(placed, lon360(quoted(lon_col)), axes["lon"], "grid_lon")
 
 
 def forecast_at_events(
     events: DataFrame, *, rolling: DataFrame, scenarios: list[str] = S.SCENARIOS,
     lat_col: str = S.LATITUDE, lon_col: str = S.LONGITUDE, date_col: str = S.EVENT_DATE,
-    suffix: str = "_event_precipitation",
+    suffix: str = "_event_precipitation", axes: dict[str, Axis | None] | None = None,
 ) -> DataFrame:
     """Adds ``{scenario}_event_precipitation`` for all scenarios, null where unknown.
 
     The scenarios share one grid and calendar, so they are pivoted into one row per cell and month
     and the events are joined once.
     """
+    axes = axes or grid_axes(rolling)
     wide = rolling.groupBy("lat", "lon", "time").agg(*[
         F.max(F.when(F.col("scenario") == s, F.col("pr"))).alias(f"{s}{suffix}")
         for s in scenarios
     ])
     wide = wide.withColumnsRenamed({"lat": "grid_lat", "lon": "grid_lon", "time": "grid_time"})
-    placed = with_grid_cell(events, rolling, lat_col, lon_col)
-    placed = with_nearest_date(placed, quoted(date_col), rolling.select("time"), "grid_time")
+    placed = with_grid_cell(events, axes, lat_col, lon_col)
+    placed = with_nearest_date(placed, quoted(date_col), axes["time"], "grid_time")
     known = quoted(lat_col).isNotNull() & quoted(lon_col).isNotNull()
     placed = placed.withColumn("grid_time", F.when(known, F.col("grid_time")))
     joined = placed.join(wide, ["grid_lat", "grid_lon", "grid_time"], "left")
@@ -119,6 +118,7 @@ def expand_scenarios(
     events: DataFrame, *, rolling: DataFrame, years: list[int] = S.FORECAST_YEARS,
     scenarios: list[str] = S.SCENARIOS, lat_col: str = S.LATITUDE, lon_col: str = S.LONGITUDE,
     date_col: str = S.EVENT_DATE, feature_map: dict[str, str] | None = None,
+    axes: dict[str, Axis | None] | None = None,
 ) -> DataFrame:
     """Every event in every year and scenario, with the climate value of that place and date.
 
@@ -129,7 +129,8 @@ def expand_scenarios(
     per key; the wide event rows are joined once and expanded only afterwards.
     """
     cell = ["grid_lat", "grid_lon", "__monthday"]
-    placed = with_grid_cell(events, rolling, lat_col, lon_col)
+    axes = axes or grid_axes(rolling)
+    placed = with_grid_cell(events, axes, lat_col, lon_col)
     date = quoted(date_col).cast("date")
     placed = placed.withColumn("__monthday", F.month(date) * 100 + F.dayofmonth(date))
 
@@ -144,7 +145,7 @@ def expand_scenarios(
     dated = keys.select(*cell, "__day", steps).withColumn(
         "__moved", shift_year(F.col("__day"), F.col("forecast_year"))
     )
-    dated = with_nearest_date(dated, F.col("__moved"), rolling.select("time"), "grid_time")
+    dated = with_nearest_date(dated, F.col("__moved"), axes["time"], "grid_time")
     values = rolling.filter(F.col("scenario").isin(scenarios)).select(
         F.col("lat").alias("grid_lat"), F.col("lon").alias("grid_lon"),
         F.col("time").alias("grid_time"), "scenario", F.col("pr"),
