@@ -11,6 +11,7 @@ from scarpline.operators.columns import NUMERIC_TYPES, quoted
 
 POINT = ["latitude", "longitude"]
 OPTIONAL_CLASSES = ["runoff", "erocl"]
+_NULL_SALTS = 256
 
 # ---- fixed values: survey column behind each output column (others keep their name) -------
 SURVEY_COLUMNS = {
@@ -35,6 +36,21 @@ def _renamed(table: DataFrame, names: dict[str, str]) -> DataFrame:
                           if old in table.columns])
 
 
+def _outer(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str) -> DataFrame:
+    """Equi join; in a full outer chain, rows whose key is still null are spread over salts.
+
+    Such rows match nothing but would all hash to one task, which AQE cannot split in a full join.
+    """
+    on = F.col(left_key) == F.col(right_key)
+    if how != "full":
+        return left.join(right, on, how)
+    spread = F.pmod(F.xxhash64(*left.columns), F.lit(_NULL_SALTS))
+    salted = left.withColumn("__salt", F.when(F.col(left_key).isNull(), spread).otherwise(-1))
+    plain = right.withColumn("__unsalted", F.lit(-1).cast("long"))
+    return salted.join(plain, on & (F.col("__salt") == F.col("__unsalted")), how).drop(
+        "__salt", "__unsalted")
+
+
 def _linked(
     tables: dict[str, DataFrame], comonth_key: str, how: str, mapunits: DataFrame | None = None
 ) -> DataFrame:
@@ -59,21 +75,20 @@ def _linked(
     restriction = pick("corestrictions", cokey="rt_cokey")
 
     if mapunits is None:
-        areas = catalog.join(legend, F.col("sc_area") == F.col("lg_area"), how)
-        units = areas.join(mapunit, F.col("lg_lkey") == F.col("mu_lkey"), how)
+        areas = _outer(catalog, legend, "sc_area", "lg_area", how)
+        units = _outer(areas, mapunit, "lg_lkey", "mu_lkey", how)
     else:
-        areas = legend.join(catalog, F.col("sc_area") == F.col("lg_area"), how)
-        units = mapunit.join(areas, F.col("lg_lkey") == F.col("mu_lkey"), how)
-    return (
-        units.join(component, F.col("mukey") == F.col("co_mukey"), how)
-        .join(month, F.col("cokey") == F.col("cm_link"), how)
-        .join(moisture, F.col("cm_key") == F.col("csm_key"), how)
-        .join(horizon, F.col("cokey") == F.col("ch_cokey"), how)
-        .join(texture_group, F.col("chkey") == F.col("ctg_chkey"), how)
-        .join(texture, F.col("ctg_key") == F.col("ct_key"), how)
-        .join(material, F.col("cokey") == F.col("pmg_cokey"), how)
-        .join(restriction, F.col("cokey") == F.col("rt_cokey"), how)
-    )
+        areas = _outer(legend, catalog, "lg_area", "sc_area", how)
+        units = _outer(mapunit, areas, "mu_lkey", "lg_lkey", how)
+    chain = _outer(units, component, "mukey", "co_mukey", how)
+    for table, left_key, right_key in [
+        (month, "cokey", "cm_link"), (moisture, "cm_key", "csm_key"),
+        (horizon, "cokey", "ch_cokey"), (texture_group, "chkey", "ctg_chkey"),
+        (texture, "ctg_key", "ct_key"), (material, "cokey", "pmg_cokey"),
+        (restriction, "cokey", "rt_cokey"),
+    ]:
+        chain = _outer(chain, table, left_key, right_key, how)
+    return chain
 
 
 def _projected(linked: DataFrame) -> DataFrame:

@@ -197,14 +197,15 @@ def crop_bounds(
     """Adds the clamped pixel window of each located point and whether it is at least 2x2."""
     reach = int(half_side_m / resolution_m)
     sizes = broadcast_if_small(tiles.select("tile_id", "width", "height"))
+    found = F.col("px").isNotNull()
     bounded = located.join(sizes, "tile_id", "left").withColumns({
-        "xmin": F.greatest(F.lit(0), F.col("px") - reach),
-        "xmax": F.least(F.col("width"), F.col("px") + reach),
-        "ymin": F.greatest(F.lit(0), F.col("py") - reach),
-        "ymax": F.least(F.col("height"), F.col("py") + reach),
+        "xmin": F.when(found, F.greatest(F.lit(0), F.col("px") - reach)),
+        "xmax": F.when(found, F.least(F.col("width"), F.col("px") + reach)),
+        "ymin": F.when(found, F.greatest(F.lit(0), F.col("py") - reach)),
+        "ymax": F.when(found, F.least(F.col("height"), F.col("py") + reach)),
     })
     usable = (F.col("xmax") - F.col("xmin") >= 2) & (F.col("ymax") - F.col("ymin") >= 2)
-    return bounded.withColumn("usable", F.coalesce(usable & F.col("px").isNotNull(), F.lit(False)))
+    return bounded.withColumn("usable", F.coalesce(usable, F.lit(False)))
 
 
 def crop_windows(
