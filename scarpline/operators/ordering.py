@@ -12,7 +12,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-N_SPLITS = 1024
+MAX_BUCKETS = 1024
+ROWS_PER_BUCKET = 1_000_000
 _BUCKET, _OFFSET, _SIZE = "__bucket", "__offset", "__size"
 
 
@@ -51,13 +52,19 @@ def shuffled_rank(df: DataFrame, group: str, key: str, seed: int | None = None)
     return rank_in_buckets(hashed, [group], order, _BUCKET).drop("__md5")
 
 
-def ordered_rank(df: DataFrame, group: str, key: str) -> DataFrame:
+def ordered_rank(
+    df: DataFrame, group: str, key: str, rows_per_bucket: int = ROWS_PER_BUCKET
+) -> DataFrame:
     """Rank inside ``group`` by a numeric key; buckets follow approximate quantiles of the key.
 
-    The quantiles only decide how even the buckets are, never the ranks.
+    The quantiles only decide how even the buckets are, never the ranks. Their number grows with
+    the table, so a short table is not cut at all.
     """
+    buckets = min(df.count() // rows_per_bucket + 1, MAX_BUCKETS)
+    if buckets == 1:
+        return rank_in_buckets(df.withColumn(_BUCKET, F.lit(0)), [group], [F.col(key)], _BUCKET)
     cuts = df.select(F.col(key).cast("double").alias(key)).approxQuantile(
-        key, [i / N_SPLITS for i in range(1, N_SPLITS)], 1.0 / (4 * N_SPLITS)
+        key, [i / buckets for i in range(1, buckets)], 1.0 / (4 * buckets)
     )
     splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
     bucketed = Bucketizer(splits=splits, inputCol="__key", outputCol=_BUCKET).transform(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from scarpline import schema as S
 from scarpline.functions import min_max_score
+from scarpline.session import broadcast_if_small
 
 
 def rank_importances(
@@ -65,6 +66,8 @@ def dense_ranks(
     (``absent="model"``), or than the largest rank of all models (``absent="global"``).
     """
     by = by or []
+    # Read three times below, and at most features x models long: evaluate it once.
+    importances = broadcast_if_small(importances)
     lengths = importances.groupBy(*by, "model").agg(
         F.count(F.lit(1)).alias("__length"), F.max("rank").alias("__worst")
     )
