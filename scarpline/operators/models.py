@@ -7,7 +7,6 @@ class moments (see ``linear``); the driver sees models, metrics and one number p
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -16,9 +15,9 @@ from math import log
 
 from pyspark import StorageLevel
 from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier,
+    GBTClassifier, LogisticRegression, RandomForestClassifier,
 )
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -122,63 +121,120 @@ def discriminant() -> Fit:
     return fit
 
 
-def _stump_vote(model, features: list[str]) -> Column:
-    """The depth-1 tree as a -1/+1 column over the plain feature columns."""
-    text = model.toDebugString
-    votes = [2.0 * float(v) - 1.0 for v in re.findall(r"Predict: ([0-9.]+)", text)]
-    split = re.search(r"If \(feature (\d+) <= (\S+)\)", text)
-    if split is None:
-        return F.lit(votes[0])
-    feature, cut = features[int(split.group(1))], float(split.group(2))
-    return F.when(quoted(feature).cast("double") <= cut, votes[0]).otherwise(votes[1])
+@dataclass(frozen=True)
+class Stump:
+    """Values below ``cut`` of one feature vote ``below``, the others ``above`` (-1 or +1)."""
+
+    feature: int
+    bin: int
+    cut: float
+    below: float
+    above: float
+    error: float
+
+    def vote(self, value: Column) -> Column:
+        return F.when(value < self.cut, self.below).otherwise(self.above)
 
 
-def adaptive_boosting(rounds: int = 100, seed: int = S.SEED, cut_every: int = 10) -> Fit:
+def _best_stump(histogram: dict[tuple[int, int], list[float]], cuts: list[list[float]]) -> Stump:
+    """Split of least weighted Gini impurity; the first feature and cut win ties.
+
+    ``histogram`` holds the weights of label 0 and 1 per (feature, bin), a few values per feature.
+    """
+    best = None
+    for feature, edges in enumerate(cuts):
+        bins = [histogram.get((feature, k), [0.0, 0.0]) for k in range(len(edges) + 1)]
+        whole = [sum(b[0] for b in bins), sum(b[1] for b in bins)]
+        left = [0.0, 0.0]
+        for k, edge in enumerate(edges):
+            left = [left[0] + bins[k][0], left[1] + bins[k][1]]
+            right = [whole[0] - left[0], whole[1] - left[1]]
+            sides = [side for side in (left, right) if sum(side) > 0]
+            impurity = sum(2 * side[0] * side[1] / sum(side) for side in sides)
+            if best is None or impurity < best[0] - 1e-15 * sum(whole):
+                votes = [1.0 if side[1] > side[0] else -1.0 for side in (left, right)]
+                missed = sum(side[0] if v > 0 else side[1] for side, v in zip((left, right), votes))
+                best = (impurity, Stump(feature, k, edge, *votes, missed / sum(whole)))
+    if best is None:
+        raise ValueError("all features are constant")
+    return best[1]
+
+
+def adaptive_boosting(rounds: int = 100, bins: int = 32, cut_every: int = 10) -> Fit:
     """Boosted stumps: misses gain weight by ``exp(alpha)`` after every round.
 
-    Row weights are column expressions over the features; every ``cut_every`` rounds they are
-    written to the checkpoint folder so that the expression does not grow.
+    Features are binned once. A round is one aggregation of the row weights by (feature, bin,
+    label), combined map-side to a few rows per feature; it yields both the best stump and its error.
+    Row weights are a column expression, written to the checkpoint folder every ``cut_every`` rounds
+    so that it does not grow.
     """
     def fit(df: DataFrame, features: list[str], label: str) -> Fitted:
-        y = quoted(label).cast("double")
-        state = _vectors(df, features).select(
-            _VECTOR, *[quoted(f) for f in features], y.alias("__label"), F.lit(1.0).alias("__w")
+        values = [f"__x{i}" for i in range(len(features))]
+        binned = [f"__b{i}" for i in range(len(features))]
+        rows = df.select(
+            quoted(label).cast("double").alias("__y"),
+            *[quoted(f).cast("double").alias(v) for f, v in zip(features, values)],
         )
-        state = cut_lineage(state)
-        votes: list[tuple[float, Column]] = []
-        totals = dict.fromkeys(features, 0.0)
+        shares = [i / bins for i in range(1, bins)]
+        found = rows.approxQuantile(values, shares, 1.0 / (8 * bins))
+        low = rows.agg(*[F.min(v) for v in values]).first()
+        # An edge at the minimum would leave one side empty.
+        cuts = [sorted(set(c) - {low[i]}) for i, c in enumerate(found)]
+        edges = [[float("-inf"), *c, float("inf")] for c in cuts]
+        usable = [i for i, c in enumerate(cuts) if c]
+        if not usable:
+            raise ValueError("all features are constant")
+        state = Bucketizer(
+            splitsArray=[edges[i] for i in usable], inputCols=[values[i] for i in usable],
+            outputCols=[binned[i] for i in usable],
+        ).transform(rows)
+        state = cut_lineage(state.select(
+            "__y", *[F.col(binned[i]).cast("int").alias(binned[i]) for i in usable],
+            F.lit(1.0).alias("__w"),
+        ))
+        cells = F.explode(F.array(*[
+            F.struct(F.lit(i).alias("f"), F.col(binned[i]).alias("b")) for i in usable
+        ]))
+        stumps: list[tuple[float, Stump]] = []
         for step in range(1, rounds + 1):
-            stump = DecisionTreeClassifier(
-                maxDepth=1, weightCol="__w", featuresCol=_VECTOR, labelCol="__label", seed=seed
-            ).fit(state)
-            vote = _stump_vote(stump, features)
-            missed = ((vote > 0).cast("double") != F.col("__label"))
-            wrong, whole = state.agg(
-                F.sum(F.when(missed, F.col("__w")).otherwise(0.0)), F.sum("__w")
-            ).first()
-            error = wrong / whole
+            sums = (
+                state.select("__y", "__w", cells.alias("c"))
+                .groupBy("c.f", "c.b", "__y").agg(F.sum("__w").alias("w")).collect()
+            )
+            histogram: dict[tuple[int, int], list[float]] = {}
+            for row in sums:
+                histogram.setdefault((row["f"], row["b"]), [0.0, 0.0])[int(row["__y"])] = row["w"]
+            stump = _best_stump(histogram, cuts)
+            error = stump.error
             if error >= 0.5:
                 break
-            alpha = 1.0 if error <= 0 else log((1 - error) / error)
-            votes.append((alpha, vote))
-            for i, feature in enumerate(features):
-                totals[feature] += alpha * float(stump.featureImportances[i])
+            stumps.append((1.0 if error <= 0 else log((1 - error) / error), stump))
             if error <= 0:
                 break
+            below = F.col(binned[stump.feature]) <= stump.bin
+            vote = F.when(below, stump.below).otherwise(stump.above)
+            missed = (vote > 0) != (F.col("__y") > 0)
             # The divisor keeps the sum of weights constant over the rounds.
             gain = F.when(missed, (1 - error) / error).otherwise(1.0) / (2 * (1 - error))
             state = state.withColumn("__w", F.col("__w") * gain)
             if step % cut_every == 0 and step < rounds:
                 state = cut_lineage(state)
-        if not votes:
+        if not stumps:
             raise ValueError("no stump is better than chance")
-        strength = sum(alpha for alpha, _ in votes)
-
-        def predict(rows: DataFrame) -> DataFrame:
-            total = reduce(lambda a, b: a + b, [F.lit(a) * v for a, v in votes])
-            return rows.withColumn("prediction", (total > 0).cast("double"))
-
-        return Fitted(predict, {f: v / strength for f, v in totals.items()})
+        strength = sum(alpha for alpha, _ in stumps)
+        totals = dict.fromkeys(features, 0.0)
+        for alpha, stump in stumps:
+            totals[features[stump.feature]] += alpha / strength
+
+        def predict(table: DataFrame) -> DataFrame:
+            votes = [
+                F.lit(alpha) * stump.vote(quoted(features[stump.feature]).cast("double"))
+                for alpha, stump in stumps
+            ]
+            return table.withColumn(
+                "prediction", (reduce(lambda a, b: a + b, votes) > 0).cast("double"))
+
+        return Fitted(predict, totals)
     return fit
 
 
@@ -208,7 +264,7 @@ def selected_features(importances: Mapping[str, float]) -> list[str]:
 
 def cross_validate(
     df: DataFrame, features: list[str], label: str, fit: Fit, fold: str = "fold",
-    n_folds: int = S.N_FOLDS, parallelism: int = 2, metric: str = "f1_weighted",
+    n_folds: int = S.N_FOLDS, parallelism: int = S.N_FOLDS, metric: str = "f1_weighted",
 ) -> DataFrame:
     """(fold, score) for a table with a fold column; all folds are scored in one job."""
     def held_out(k: int) -> DataFrame:
@@ -237,7 +293,7 @@ def _score(folds: DataFrame) -> tuple[float, float]:
 
 
 def evaluate_model(
-    folded: DataFrame, features: list[str], label: str, fit: Fit, parallelism: int = 2
+    folded: DataFrame, features: list[str], label: str, fit: Fit, parallelism: int = S.N_FOLDS
 ) -> Evaluation:
     """Select on all rows, refit on the selected features, then cross-validate them.
 
@@ -258,7 +314,7 @@ class Evaluations:
 
 def evaluate_all(
     df: DataFrame, features: list[str], label: str = S.TARGET, key: str = S.ROW_ID,
-    models: Mapping[str, Fit] | None = None, seed: int | None = S.SEED, parallelism: int = 2,
+    models: Mapping[str, Fit] | None = None, seed: int | None = S.SEED, parallelism: int = S.N_FOLDS,
 ) -> Evaluations:
     """All models on one table; a model that fails is reported and left out."""
     spark = df.sparkSession
@@ -312,7 +368,7 @@ class Selection:
 
 def select_features(
     df: DataFrame, features: list[str], label: str = S.TARGET, key: str = S.ROW_ID,
-    fit: Fit | None = None, parallelism: int = 2,
+    fit: Fit | None = None, parallelism: int = S.N_FOLDS,
 ) -> Selection:
     """Mean-importance selection by boosted trees, scored on unshuffled folds before and after."""
     fit = fit or gradient_boosting()
@@ -378,7 +434,7 @@ class StabilityModel:
 def train_stability_model(
     df: DataFrame, features: list[str], label: str = S.TARGET, key: str = S.ROW_ID,
     fit: Fit | None = None, test_share: float = S.TEST_SHARE, seed: int | None = S.SEED,
-    parallelism: int = 2,
+    parallelism: int = S.N_FOLDS,
 ) -> StabilityModel:
     """Forest on the rows without nulls: split, fit on the training part, score, cross-validate."""
     fit = fit or random_forest()

@@ -167,31 +167,33 @@ def _future(spark, sf):
     price = F.col("o_totalprice") * (1.0 + F.col("step.f")) - (F.col("o_orderkey") % 7) * 20000
     return moved.select(
         F.col("o_orderkey").alias("row_id"), F.col("step.s").alias("scenario"),
-        F.col("step.y").alias("forecast_year"),
+        F.col("step.y").alias("forecast_year"), _present_class().alias("original"),
         F.when(price < 250000, 1.0).otherwise(0.0).alias("predicted"),
     )
 
 
-def _present(spark, sf):
-    return load(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("row_id"),
-        F.when(F.col("o_totalprice") < 250000, 1.0).otherwise(0.0).alias("original"))
+def _present_class():
+    return F.when(F.col("o_totalprice") < 250000, 1.0).otherwise(0.0)
 
 
-def _pairs(spark, sf):
-    return transitions.align_predictions(_present(spark, sf), _future(spark, sf))
+def _present(spark, sf):
+    return load(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("row_id"), _present_class().alias("original"))
 
 _RATES = ["stability_rate", "stability_change"]
 
 
 def stability_transitions(spark, sf):
-    counts = transitions.transition_counts(_pairs(spark, sf), ["scenario", "forecast_year"])
+    """The present class travels with the expanded row, as in the stability analysis."""
+    counts = transitions.transition_counts(_future(spark, sf), ["scenario", "forecast_year"])
     return rounded(counts, _RATES)
 
 
 def stability_report(spark, sf):
-    report = transitions.stability_report(transitions.transition_counts(_pairs(spark, sf)))
-    return rounded(report, _RATES)
+    """Predictions kept in two tables are aligned by the event key first."""
+    pairs = transitions.align_predictions(
+        _present(spark, sf), _future(spark, sf).drop("original"))
+    return rounded(transitions.stability_report(transitions.transition_counts(pairs)), _RATES)
 
 
 QUERIES = {
