@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from scarpline import schema as S
 from scarpline.operators import linear, metrics, ranking
 from scarpline.operators.columns import align_features, quoted
+from scarpline.operators.profile import drop_null_rows
 from scarpline.operators.folds import contiguous_folds, shuffled_folds, stratified_split
 from scarpline.session import cut_lineage
 
@@ -393,6 +394,9 @@ def drop_importances(
         StorageLevel.MEMORY_AND_DISK)
 
     def score(names: list[str]) -> float:
+        if not names:  # without any feature the best guess is the larger class
+            sizes = table.groupBy(quoted(label)).count()
+            return sizes.agg(F.max("count") / F.sum("count")).first()[0]
         predicted = fit(table, names, label).predict(table)
         return metrics.accuracy(predicted, label).first()["accuracy"]
 
@@ -439,7 +443,7 @@ def train_stability_model(
     """Forest on the rows without nulls: split, fit on the training part, score, cross-validate."""
     fit = fit or random_forest()
     wanted = [key, label, *features]
-    clean = df.select(*[quoted(c) for c in wanted]).na.drop("any", subset=[label, *features])
+    clean = drop_null_rows(df.select(*[quoted(c) for c in wanted]), [label, *features])
     split = stratified_split(clean, label, key, test_share, seed)
     table = contiguous_folds(split, label, key).persist(StorageLevel.MEMORY_AND_DISK)
     try:

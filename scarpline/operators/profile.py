@@ -60,7 +60,8 @@ def drop_null_columns(
 
 
 def drop_null_rows(df: DataFrame, names: list[str] | None = None) -> DataFrame:
-    return df.na.drop("any", subset=names or df.columns)
+    """Complete rows over ``names``; NaN counts as missing too."""
+    return df.na.drop("any", subset=[f"`{n}`" for n in names or df.columns])
 
 
 def apply_threshold(

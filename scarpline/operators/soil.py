@@ -92,9 +92,13 @@ def _linked(
 
 
 def _projected(linked: DataFrame) -> DataFrame:
-    derived = linked.withColumns({"wthirdbar_r": F.col("th33"),
-                                  "dbthirdbar_r": F.col("bulk_density")})
-    derived = derived.withColumns(soil_arithmetic())
+    inputs = {"wthirdbar_r": "th33", "dbthirdbar_r": "bulk_density",
+              "soimoistdept_r": "soimoistdept_r", "soimoistdepb_r": "soimoistdepb_r"}
+    unknown = F.lit(None).cast("string")
+    derived = linked.withColumns({
+        name: F.col(source) if source in linked.columns else unknown
+        for name, source in inputs.items()
+    }).withColumns(soil_arithmetic())
     names = ["cokey", "chkey", *S.SOIL_NUMERIC_COLUMNS, *S.SOIL_TEXT_COLUMNS]
     return derived.select("mukey", *[n for n in names if n in derived.columns])
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import reduce
@@ -102,7 +103,10 @@ def run_analysis(
             best = ranking.top_features(
                 rankings.filter(F.col("dataset") == name), PLOT_FEATURES[name])
             top = [row["feature"] for row in best.collect()]
-            plots[name] = plot_data(part.data, part.features, top, target, boosting)
+            try:
+                plots[name] = plot_data(part.data, part.features, top, target, boosting)
+            except Exception as error:  # plot tables are extras
+                warnings.warn(f"no plot data for {name}: {error}", stacklevel=2)
     return Analysis(datasets, pair, basic, evaluations, rankings, plots)
 
 
