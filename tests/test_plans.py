@@ -73,7 +73,7 @@ def events(spark):
 
 
 def _registry():
-    return {"gb": models.gradient_boosting(3), "rf": models.random_forest(5, 4),
+    return {"gb": models.gradient_boosting(2, 2), "rf": models.random_forest(3, 3),
             "lda": models.discriminant()}
 
 
