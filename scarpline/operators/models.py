@@ -300,8 +300,10 @@ def evaluate_model(
 
     Selection sees all rows before the folds, so the scores are optimistic, as documented.
     """
-    kept = selected_features(fit(folded, features, label).importances)
-    final = fit(folded, kept, label)
+    final = fit(folded, features, label)
+    kept = selected_features(final.importances)
+    if kept != features:
+        final = fit(folded, kept, label)
     score, deviation = _score(cross_validate(folded, kept, label, fit, parallelism=parallelism))
     return Evaluation(score, deviation, final.importances)
 
@@ -378,7 +380,9 @@ def select_features(
     try:
         first, _ = _score(cross_validate(folded, features, label, fit, parallelism=parallelism))
         kept = selected_features(fit(folded, features, label).importances)
-        last, _ = _score(cross_validate(folded, kept, label, fit, parallelism=parallelism))
+        last = first
+        if kept != features:
+            last, _ = _score(cross_validate(folded, kept, label, fit, parallelism=parallelism))
     finally:
         folded.unpersist()
     return Selection(kept, first, last, len(kept) / len(features))

@@ -122,7 +122,8 @@ def climate_enrich(spark, sf):
 
 
 def scenario_expand(spark, sf):
-    rolled = rolling(spark, sf)
+    # Read three times below; the grid is small next to the expanded events.
+    rolled = rolling(spark, sf).persist()
     axes = climate.grid_axes(rolled)
     enriched = climate.forecast_at_events(events(spark, sf), rolling=rolled, axes=axes)
     expanded = climate.expand_scenarios(enriched, rolling=rolled, years=YEARS,

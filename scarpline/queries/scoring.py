@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scarpline import functions as fn
-from scarpline.operators import folds, linear, metrics
+from scarpline.operators import folds, linear, metrics, models
 from scarpline.operators.columns import split_target
 from scarpline.queries.base import load, rounded
 
@@ -100,6 +100,20 @@ def discriminant_weights(spark, sf):
     return _plane(spark, *linear.fit_discriminant(_labelled_lines(spark, sf), _PAIR, "label"))
 
 
+def _classified(fit, spark, sf):
+    """Line counts per label and predicted class of a fitted plane."""
+    lines = _labelled_lines(spark, sf)
+    return metrics.confusion(fit(lines, _PAIR, "label").predict(lines))
+
+
+def ridge_predictions(spark, sf):
+    return _classified(models.ridge(), spark, sf)
+
+
+def discriminant_predictions(spark, sf):
+    return _classified(models.discriminant(), spark, sf)
+
+
 QUERIES = {
     "stratified_folds": shuffled_folds,
     "stratified_label_folds": shuffled_label_folds,
@@ -116,6 +130,8 @@ QUERIES = {
     "class_moments": class_moments,
     "ridge_weights": ridge_weights,
     "discriminant_weights": discriminant_weights,
+    "ridge_predictions": ridge_predictions,
+    "discriminant_predictions": discriminant_predictions,
 }
 
 _JUDGED = """judged AS (SELECT l.doc_id, lang, quality AS label,
@@ -193,4 +209,12 @@ ORACLE = {
                             "weight FROM solved UNION ALL SELECT 'l_tax', round(wy, 5) FROM solved "
                             "UNION ALL SELECT '1', round(-0.5 * (wx * (mx0 + mx1) + wy * "
                             "(my0 + my1)) + ln(CAST(n1 AS DOUBLE) / n0), 5) FROM solved",
+    "ridge_predictions": f"WITH {_RIDGE} SELECT label, CASE WHEN wx * (x - mx) + wy * (y - my) + mt "
+                         "> 0 THEN 1e0 ELSE 0e0 END AS prediction, count(*) AS n "
+                         "FROM labelled CROSS JOIN solved GROUP BY 1, 2",
+    "discriminant_predictions": f"WITH {_DISCRIMINANT} SELECT label, CASE WHEN wx * x + wy * y - 0.5 "
+                                "* (wx * (mx0 + mx1) + wy * (my0 + my1)) + "
+                                "ln(CAST(n1 AS DOUBLE) / n0) > 0 THEN 1e0 ELSE 0e0 END AS "
+                                "prediction, count(*) AS n FROM labelled CROSS JOIN solved "
+                                "GROUP BY 1, 2",
 }

@@ -78,7 +78,8 @@ def test_fill_overwrites_all_rows_of_a_key(spark):
 def test_centred_rolling_golden(spark):
     rows = [("s", 0.0, 0.0, dt.date(2000 + i // 12, i % 12 + 1, 1), float(i + 1))
             for i in range(14)]
-    series = spark.createDataFrame(rows, "scenario string, lat double, lon double, time date, pr double")
+    series = spark.createDataFrame(
+        rows, "scenario string, lat double, lon double, time date, pr double")
     rolled = [r["pr"] for r in climate.rolling_sum(series).orderBy("time").collect()]
     assert rolled == [None] * 6 + [78.0, 90.0, 102.0] + [None] * 5
 
