@@ -51,6 +51,19 @@ def _outer(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how
         "__salt", "__unsalted")
 
 
+def _left_to_many(
+    left: DataFrame, right: DataFrame, on, present: DataFrame
+) -> DataFrame:
+    """Left join whose right side may hold one very frequent key.
+
+    AQE can split either side of an inner join but never the right side of a left join, so matched
+    rows come from an inner join, and the rest from an anti join with the distinct keys ``present``.
+    """
+    matched = left.join(right, on)
+    alone = left.join(present, on, "left_anti")
+    return matched.unionByName(alone, allowMissingColumns=True)
+
+
 def _linked(
     tables: dict[str, DataFrame], comonth_key: str, how: str, mapunits: DataFrame | None = None
 ) -> DataFrame:
@@ -87,7 +100,11 @@ def _linked(
         (texture, "ctg_key", "ct_key"), (material, "cokey", "pmg_cokey"),
         (restriction, "cokey", "rt_cokey"),
     ]:
-        chain = _outer(chain, table, left_key, right_key, how)
+        if table is horizon and how == "left":
+            on = F.col(left_key) == F.col(right_key)
+            chain = _left_to_many(chain, table, on, table.select(right_key).distinct())
+        else:
+            chain = _outer(chain, table, left_key, right_key, how)
     return chain
 
 
@@ -131,7 +148,9 @@ def soil_at_points(
     """Survey rows of each distinct point; a point without soil keeps one key-only row."""
     places = points.select(*POINT).distinct().join(point_mukey, POINT, "left")
     rows = soil_of_mapunits(tables, point_mukey, comonth_key, distinct)
-    return places.join(rows, "mukey", "left").drop("mukey")
+    # Every map unit has at least one survey row, so its key tells whether a point has soil.
+    units = tables["mapunit"].select("mukey").distinct()
+    return _left_to_many(places, rows, "mukey", units).drop("mukey")
 
 
 def primary_properties(soil: DataFrame, strict_compat: bool = True) -> DataFrame:
