@@ -5,8 +5,43 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scarpline.llm import exact, packing
-from scarpline.llm.common import documents
+from scarpline.llm import chat, exact, huffman, mixing, packing, quality, repetition, setsketch, substring, suffix
+from scarpline.llm.common import documents, shared_folder
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(documents(spark, sf_dir))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.repetition_rules(documents(spark, sf_dir))
+
+
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_groups(documents(spark, sf_dir))
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(documents(spark, sf_dir))
+
+
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(documents(spark, sf_dir))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark, "token-ids")
+    huffman.write_ids(documents(spark, sf_dir), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return huffman.read_ids(spark, folder)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +54,15 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
+    "op2_substring_dedup": op2_substring_dedup,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_near_dedup": op4_near_dedup,
+    "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_chat_formatting": op6_chat_formatting,
+    "op7_source_mixing": op7_source_mixing,
+    "op8_token_output": op8_token_output,
     "op9_packing": op9_packing,
     "op10_exact_dedup": op10_exact_dedup,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op6_chat_formatting": chat.ROTATE_SQL}
