@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 # A side may be broadcast only after it was counted and found at most this long.
 BROADCAST_MAX_ROWS = 50_000
+BROADCAST_MAX_BYTES = 8 << 20
 
 
 def session(app_name: str = "scarpline", master: str | None = None, **conf: str) -> SparkSession:
@@ -23,6 +25,7 @@ def session(app_name: str = "scarpline", master: str | None = None, **conf: str)
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.ansi.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
     for key, value in settings.items():
@@ -30,30 +33,37 @@ def session(app_name: str = "scarpline", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the cluster's shared ``spark.checkpoint.dir``.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which driver and executors share.
 
-    A directory of our own is set only in local mode, where driver and executors share a disk.
+    One of our own is set only where none is named and all run on one machine, as in tests.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not context.master.startswith("local"):
+        if named is None:
+            if not re.match(r"local(\[|$)", context.master):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-            shared = tempfile.mkdtemp(prefix="scarpline-checkpoint-")
-        context.setCheckpointDir(shared)
+            named = tempfile.mkdtemp(prefix="scarpline-checkpoint-")
+        context.setCheckpointDir(named)
+    return named or context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Evaluate ``df`` once and hint a broadcast when it holds at most ``max_rows`` rows.
+def broadcast_if_small(
+    df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES
+) -> DataFrame:
+    """Evaluate ``df`` once and hint a broadcast when it is short and small enough.
 
-    The driver never receives more than ``max_rows + 1`` rows. A longer table comes back as it was,
+    The driver never receives more than ``max_rows + 1`` rows. A larger table comes back as it was,
     unhinted, so the same join runs as a shuffle join under AQE.
     """
     head = df.limit(max_rows + 1).toArrow()
-    if head.num_rows > max_rows:
+    if head.num_rows > max_rows or head.nbytes > max_bytes:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(head, schema=df.schema))
