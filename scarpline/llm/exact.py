@@ -20,10 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scarpline.llm.common import id_and_text, one_space, rows
+from scarpline.llm.common import id_and_text, once_each, one_space, rows, with_row_key
 from scarpline.session import cut_lineage
 
 PRIMES = (2147483647, 2147483629)
@@ -114,9 +114,9 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             sizes.append(len(text))
             digests.append(hashlib.sha256(text).digest())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(prints, pa.int64()), pa.array(sizes, pa.int64()),
-             pa.array(digests, pa.binary())],
-            ["doc_id", "fingerprint", "n_bytes", "sha"])
+            [pa.array(ids, pa.int64()), batch.column("row_hash"), pa.array(prints, pa.int64()),
+             pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())],
+            ["doc_id", "row_hash", "fingerprint", "n_bytes", "sha"])
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,12 +148,14 @@ def _compared(text_rows: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, n_bytes, fingerprint."""
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, n_bytes, fingerprint and
+    row_hash, the hash of the text as it is."""
     text_rows = id_and_text(docs)
-    prints = text_rows.mapInArrow(_fingerprints, "doc_id long, fingerprint long, n_bytes long, sha binary")
+    prints = text_rows.select("doc_id", "text", F.xxhash64("text").alias("row_hash")).mapInArrow(
+        _fingerprints, "doc_id long, row_hash long, fingerprint long, n_bytes long, sha binary")
     key = ["fingerprint", "n_bytes"]
     # Repeated rows collapse map-side, with their number, and come back at the end.
-    found = cut_lineage(prints.groupBy(*key, "sha", "doc_id").agg(F.count(F.lit(1)).alias("times")))
+    found = cut_lineage(prints.groupBy(*key, "sha", "doc_id", "row_hash").agg(F.count(F.lit(1)).alias("times")))
     groups = found.groupBy(*key).agg(F.sum("times").alias("size"))
     shared = cut_lineage(groups.where("size > 1").select(*key))
     members = found.join(shared, key, "left_semi").select("doc_id", *key).where("n_bytes > 0")
@@ -164,24 +166,26 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     keyed = cut_lineage(keyed)
     # The largest groups hold many rows of this join's left side, which adaptive execution can split.
     kept = cut_lineage(
-        keyed.groupBy(*split).agg(F.min("doc_id").alias("keep_id"), F.sum("times").alias("group_size"))
+        keyed.groupBy(*split).agg(
+            F.min("doc_id").alias("keep_id"), F.sum("times").alias("group_size"),
+            # Of texts that differ in white space only, under one id, the first hash.
+            F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_hash")).getField("row_hash").alias("first_hash"))
         .where("group_size > 1"))
     joined = keyed.join(kept, split, "left").withColumns({
         "keep_id": F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")),
         "group_size": F.coalesce("group_size", F.lit(1).cast("long")),
+        "first_hash": F.coalesce("first_hash", "row_hash"),
     })
     each = joined.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    first = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("row_hash") == F.col("first_hash"))
     return each.select(
-        "doc_id", "keep_id", "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("__i") == 1)).alias("kept"),
-        F.lower(F.hex("sha")).alias("text_sha256"), "n_bytes", "fingerprint",
+        "doc_id", "keep_id", "group_size", (first & (F.col("__i") == 1)).alias("kept"),
+        F.lower(F.hex("sha")).alias("text_sha256"), "n_bytes", "fingerprint", "row_hash",
     )
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that :func:`exact_groups` keeps."""
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("__kept_id"))
-    rows_ = docs.join(kept, docs.doc_id.eqNullSafe(F.col("__kept_id")), "left_semi")
-    # Rows that repeat an id stay once; in a table with unique ids every window has one row.
-    order = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1))
-    return rows_.withColumn("__row", F.row_number().over(order)).where("__row = 1").drop("__row")
+    kept = exact_groups(docs).where("kept").select(
+        F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__id"), F.col("row_hash").alias("__hash"))
+    return once_each(with_row_key(docs).join(kept, ["__id", "__hash"], "left_semi"), docs.columns)

@@ -179,17 +179,18 @@ def mixed_documents(docs: DataFrame, seed: int = SEED, block: int = BLOCK,
     Words of a partial copy are joined by one space; documents that take nothing leave.
     """
     decided = mix(docs, seed, block, shard_words).where("taken > 0")
+    key = ["__id", "__place"]
+    none = F.lit(-(1 << 63))
+    # Rows that repeat id and text share a key; each gets one of the key's decisions.
     facts = decided.select(
-        F.col("doc_id").alias("__doc_id"), F.col("place").alias("__place"), F.struct(
-            "size", "taken", "begin", "rounds", "rest", "stride", "shift", "blocks").alias("__mix"))
-    # Rows that repeat id and text share a place; each stands for one of them.
-    facts = facts.groupBy("__doc_id", "__place").agg(F.sort_array(F.collect_list("__mix")).alias("__mixes"))
+        F.coalesce("doc_id", none).alias("__id"), F.col("place").alias("__place"), F.struct(
+            "size", "taken", "begin", "rounds", "rest", "stride", "shift", "blocks").alias("__mix")
+    ).groupBy(*key).agg(F.sort_array(F.collect_list("__mix")).alias("__mixes"))
     text = F.col("text").cast("string")
-    keyed = docs.withColumn("__hash", F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), text))
-    same = Window.partitionBy("doc_id", "__hash").orderBy(F.lit(1))
-    numbered = keyed.withColumn("__row", F.row_number().over(same))
-    met = numbered.join(
-        facts, numbered.doc_id.cast("long").eqNullSafe(F.col("__doc_id")) & (F.col("__hash") == F.col("__place")))
+    doc_id = F.col("doc_id").cast("long")
+    keyed = docs.select("*", F.coalesce(doc_id, none).alias("__id"), F.xxhash64(F.lit(seed), doc_id, text).alias("__place"))
+    same = Window.partitionBy(*key).orderBy(F.lit(1))
+    met = keyed.withColumn("__row", F.row_number().over(same)).join(facts, key)
     one = met.withColumn("__mix", F.try_element_at("__mixes", F.col("__row"))).where("__mix is not null")
     m = F.col("__mix")
 
