@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scarpline import schema as S
 
 __all__ = [
-    "nan_to_null", "to_number", "to_date", "months_total", "lon360", "shift_year", "days_before",
+    "nan_to_null", "to_number", "to_date", "unreadable_dates", "months_total", "lon360", "shift_year", "days_before",
     "bounding_box", "pixel_index", "min_max_score", "is_stable", "soil_arithmetic",
 ]
 
@@ -23,9 +23,23 @@ def to_number(column: Column) -> Column:
     return nan_to_null(column.try_cast("double"))
 
 
-def to_date(column: Column) -> Column:
-    """Date from text or timestamp; unreadable text becomes NULL."""
-    return column.try_cast("date")
+# Text forms of a date beside ISO, month first; one or two digits for month, day and hour.
+DATE_FORMATS = ["M/d/yyyy", "M/d/yyyy h:mm:ss a", "M/d/yyyy H:mm:ss", "yyyy/M/d"]
+
+
+def to_date(column: Column, formats: list[str] | None = None) -> Column:
+    """Date from a date, timestamp or text: ISO first, then ``formats`` in turn.
+
+    Text that none of them reads becomes NULL; ``unreadable_dates`` counts it.
+    """
+    text = F.trim(column.cast("string"))
+    others = [F.try_to_timestamp(text, F.lit(f)).cast("date") for f in (DATE_FORMATS if formats is None else formats)]
+    return F.coalesce(column.try_cast("date"), *others)
+
+
+def unreadable_dates(column: Column, formats: list[str] | None = None) -> Column:
+    """Aggregate: how many values are there but are no date in any of the forms."""
+    return F.count_if(column.isNotNull() & to_date(column, formats).isNull())
 
 
 def months_total(value: Column, units: Column | str) -> Column:

@@ -67,6 +67,26 @@ def process_scenarios(
     return rolling_sum(stitched, months).select(*CELL, "time", "pr")
 
 
+def rolling_at_events(
+    events: DataFrame, grid: DataFrame, months: int = 12, scenarios: list[str] = S.SCENARIOS,
+    lat_col: str = S.LATITUDE, lon_col: str = S.LONGITUDE, history: str = S.HISTORY,
+    drop_overlap: bool = True,
+) -> tuple[DataFrame, dict[str, Axis | None]]:
+    """Rolling series of the grid cells that some event needs, and the axes of the whole grid.
+
+    The cells meet the stitched grid by a semi join ahead of the window, whose partitions are cells, so
+    the values are those of the whole grid and the rest of the cube is neither rolled nor shuffled.
+    """
+    series = monthly_series(grid)
+    stitched = stitch(series.filter(F.col("scenario") == history), series, scenarios, drop_overlap)
+    axes = grid_axes(stitched)
+    places = events.select(quoted(lat_col), quoted(lon_col)).distinct()
+    cells = with_grid_cell(places, axes, lat_col, lon_col).select(
+        F.col("grid_lat").alias("lat"), F.col("grid_lon").alias("lon")).na.drop().distinct()
+    near = stitched.join(cells, ["lat", "lon"], "left_semi")
+    return rolling_sum(near, months).select(*CELL, "time", "pr"), axes
+
+
 def year_range(series: DataFrame) -> DataFrame:
     return series.groupBy("scenario").agg(
         F.min(F.year("time")).alias("first_year"), F.max(F.year("time")).alias("last_year")
@@ -146,10 +166,12 @@ def expand_scenarios(
         "__moved", shift_year(F.col("__day"), F.col("forecast_year"))
     )
     dated = with_nearest_date(dated, F.col("__moved"), axes["time"], "grid_time")
-    values = rolling.filter(F.col("scenario").isin(scenarios)).select(
+    # A series that keeps its overlap has two values in a month; the larger one counts, as in
+    # ``forecast_at_events``.
+    values = rolling.filter(F.col("scenario").isin(scenarios)).groupBy(
         F.col("lat").alias("grid_lat"), F.col("lon").alias("grid_lon"),
-        F.col("time").alias("grid_time"), "scenario", F.col("pr"),
-    )
+        F.col("time").alias("grid_time"), "scenario",
+    ).agg(F.max("pr").alias("pr"))
     packed = dated.join(values, ["grid_lat", "grid_lon", "grid_time"]).groupBy(*cell).agg(
         F.map_from_entries(F.collect_list(F.struct(
             F.concat_ws("@", "scenario", "forecast_year"), F.col("pr")

@@ -54,6 +54,8 @@ def _collected(df: DataFrame, features: list[str], label: str):
         classes.append((float(row["label"]), row["n"], mean, cov))
     if len(classes) != 2:
         raise ValueError(f"a binary target is needed, found {len(classes)} classes")
+    if [c[0] for c in classes] != [0.0, 1.0]:
+        raise ValueError("labels must be 0 and 1, see models.binary_labels")
     return classes
 
 

@@ -28,6 +28,8 @@ from scarpline.operators.profile import drop_null_rows
 from scarpline.operators.folds import contiguous_folds, shuffled_folds, stratified_split
 from scarpline.session import cut_lineage
 
+# Cuts tried per feature in the tree models; more cost memory, never rows.
+MAX_BINS = 256
 IMPORTANCE = "model string, feature string, importance double"
 _VECTOR = "__features"
 
@@ -68,20 +70,29 @@ def _fit_mllib(estimator, strengths, df: DataFrame, features: list[str], label:
     return Fitted(predict, {f: float(values[i]) for i, f in enumerate(features)})
 
 
-def random_forest(trees: int = 100, depth: int = 30, seed: int = S.SEED) -> Fit:
-    """Forest with sqrt feature sampling; 30 is the deepest tree MLlib grows."""
+def random_forest(
+    trees: int = 100, depth: int = 30, seed: int = S.SEED, max_bins: int = MAX_BINS
+) -> Fit:
+    """Forest with sqrt feature sampling; 30 is the deepest tree MLlib grows.
+
+    ``max_bins`` bounds the cuts tried per feature; at least its distinct values tries them all.
+    """
     def fit(df: DataFrame, features: list[str], label: str) -> Fitted:
         estimator = RandomForestClassifier(
-            numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed
+            numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed,
+            maxBins=max_bins,
         )
         return _fit_mllib(estimator, lambda m: m.featureImportances, df, features, label)
     return fit
 
 
-def gradient_boosting(stages: int = 100, depth: int = 3, seed: int = S.SEED) -> Fit:
-    """Boosted trees for a binary target."""
+def gradient_boosting(
+    stages: int = 100, depth: int = 3, seed: int = S.SEED, max_bins: int = MAX_BINS
+) -> Fit:
+    """Boosted trees for a binary target; ``max_bins`` as in ``random_forest``."""
     def fit(df: DataFrame, features: list[str], label: str) -> Fitted:
-        estimator = GBTClassifier(maxIter=stages, stepSize=0.1, maxDepth=depth, seed=seed)
+        estimator = GBTClassifier(
+            maxIter=stages, stepSize=0.1, maxDepth=depth, seed=seed, maxBins=max_bins)
         return _fit_mllib(estimator, lambda m: m.featureImportances, df, features, label)
     return fit
 
@@ -161,7 +172,7 @@ def _best_stump(histogram: dict[tuple[int, int], list[float]], cuts: list[list[f
     return best[1]
 
 
-def adaptive_boosting(rounds: int = 100, bins: int = 32, cut_every: int = 10) -> Fit:
+def adaptive_boosting(rounds: int = 100, bins: int = MAX_BINS, cut_every: int = 10) -> Fit:
     """Boosted stumps: misses gain weight by ``exp(alpha)`` after every round.
 
     Features are binned once. A round is one aggregation of the row weights by (feature, bin,
@@ -239,18 +250,32 @@ def adaptive_boosting(rounds: int = 100, bins: int = 32, cut_every: int = 10) ->
     return fit
 
 
-def registry(trees: int = 100, depth: int = 30, stages: int = 100, rounds: int = 100) -> dict[str, Fit]:
+def registry(
+    trees: int = 100, depth: int = 30, stages: int = 100, rounds: int = 100, max_bins: int = MAX_BINS
+) -> dict[str, Fit]:
     """The six models in their fixed order."""
     return {
         "logistic": logistic(),
-        "rf": random_forest(trees, depth),
-        "gb": gradient_boosting(stages),
+        "rf": random_forest(trees, depth, max_bins=max_bins),
+        "gb": gradient_boosting(stages, max_bins=max_bins),
         "ridge": ridge(),
         "lda": discriminant(),
-        "ada": adaptive_boosting(rounds),
+        "ada": adaptive_boosting(rounds, max_bins),
     }
 
 
+def binary_labels(df: DataFrame, label: str) -> DataFrame:
+    """The two values of a numeric target as 0 and 1, in their order; other targets raise."""
+    found = [row[0] for row in df.select(quoted(label).cast("double")).na.drop().distinct().limit(3).collect()]
+    if len(found) > 2:
+        raise ValueError(f"a binary target is needed, {label} has more than two values")
+    if set(found) <= {0.0, 1.0}:
+        return df
+    high = max(found)
+    return df.withColumn(label, F.when(
+        quoted(label).isNotNull(), ((quoted(label).cast("double") == high) & F.lit(len(found) > 1)).cast("int")))
+
+
 def importance_table(spark, importances: Mapping[str, Mapping[str, float]]) -> DataFrame:
     """(model, feature, importance), one row per model and feature."""
     rows = [(m, f, float(v)) for m, table in importances.items() for f, v in table.items()]
@@ -321,7 +346,7 @@ def evaluate_all(
 ) -> Evaluations:
     """All models on one table; a model that fails is reported and left out."""
     spark = df.sparkSession
-    base = df.select(quoted(key), quoted(label), *[quoted(f) for f in features])
+    base = binary_labels(df, label).select(quoted(key), quoted(label), *[quoted(f) for f in features])
     folded = shuffled_folds(base, label, key, seed=seed).persist(StorageLevel.MEMORY_AND_DISK)
     scores, tables, status = [], {}, []
     try:
@@ -329,7 +354,7 @@ def evaluate_all(
             try:
                 result = evaluate_model(folded, features, label, fit, parallelism)
             except Exception as error:  # one failing model must not stop the others
-                status.append((name, "failed", str(error).splitlines()[0][:200]))
+                status.append((name, "failed", str(error)))
                 continue
             status.append((name, "success", None))
             scores.append((name, result.cv_score, result.cv_std))
@@ -375,7 +400,7 @@ def select_features(
 ) -> Selection:
     """Mean-importance selection by boosted trees, scored on unshuffled folds before and after."""
     fit = fit or gradient_boosting()
-    base = df.select(quoted(key), quoted(label), *[quoted(f) for f in features])
+    base = binary_labels(df, label).select(quoted(key), quoted(label), *[quoted(f) for f in features])
     folded = contiguous_folds(base, label, key).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         first, _ = _score(cross_validate(folded, features, label, fit, parallelism=parallelism))
@@ -394,7 +419,7 @@ def drop_importances(
 ) -> DataFrame:
     """Loss of training accuracy when a feature is left out: (feature, drop_importance)."""
     fit = fit or gradient_boosting()
-    table = df.select(quoted(label), *[quoted(f) for f in features]).persist(
+    table = binary_labels(df, label).select(quoted(label), *[quoted(f) for f in features]).persist(
         StorageLevel.MEMORY_AND_DISK)
 
     def score(names: list[str]) -> float:
@@ -447,6 +472,7 @@ def train_stability_model(
     """Forest on the rows without nulls: split, fit on the training part, score, cross-validate."""
     fit = fit or random_forest()
     wanted = [key, label, *features]
+    df = binary_labels(df, label)
     clean = drop_null_rows(df.select(*[quoted(c) for c in wanted]), [label, *features])
     split = stratified_split(clean, label, key, test_share, seed)
     table = contiguous_folds(split, label, key).persist(StorageLevel.MEMORY_AND_DISK)

@@ -12,7 +12,6 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_BUCKETS = 1024
 ROWS_PER_BUCKET = 1_000_000
 _BUCKET, _OFFSET, _SIZE = "__bucket", "__offset", "__size"
 
@@ -39,15 +38,18 @@ def rank_in_buckets(df: DataFrame, groups: list[str], order: list[Column], bucke
     )
 
 
-def shuffled_rank(df: DataFrame, group: str, key: str, seed: int | None = None) -> DataFrame:
+def shuffled_rank(
+    df: DataFrame, group: str, key: str, seed: int | None = None, digits: int = 3
+) -> DataFrame:
     """Rank inside ``group`` by the md5 of the key: a repeatable shuffle.
 
-    The first three hex digits of a hash split every group evenly into 4,096 buckets.
+    The first ``digits`` hex digits of the hash split every group evenly into 16^digits buckets; the
+    ranks do not depend on their number. Raise it where a class holds more than some 10^10 rows.
     """
     text = F.col(key).cast("string")
     if seed is not None:
         text = F.concat(F.lit(f"{seed}:"), text)
-    hashed = df.withColumn("__md5", F.md5(text)).withColumn(_BUCKET, F.substring("__md5", 1, 3))
+    hashed = df.withColumn("__md5", F.md5(text)).withColumn(_BUCKET, F.substring("__md5", 1, digits))
     order = [F.col("__md5"), F.col(key)]
     return rank_in_buckets(hashed, [group], order, _BUCKET).drop("__md5")
 
@@ -57,12 +59,10 @@ def ordered_rank(
 ) -> DataFrame:
     """Rank inside ``group`` by a numeric key; buckets follow approximate quantiles of the key.
 
-    The quantiles only decide how even the buckets are, never the ranks. Their number grows with
-    the table, so a short table is not cut at all.
+    The quantiles only decide how even the buckets are, never the ranks. Their number follows the
+    table without a limit, so no task sorts much more than ``rows_per_bucket`` rows.
     """
-    buckets = min(df.count() // rows_per_bucket + 1, MAX_BUCKETS)
-    if buckets == 1:
-        return rank_in_buckets(df.withColumn(_BUCKET, F.lit(0)), [group], [F.col(key)], _BUCKET)
+    buckets = df.count() // rows_per_bucket + 2
     cuts = df.select(F.col(key).cast("double").alias(key)).approxQuantile(
         key, [i / buckets for i in range(1, buckets)], 1.0 / (4 * buckets)
     )

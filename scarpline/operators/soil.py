@@ -159,7 +159,7 @@ def primary_properties(soil: DataFrame, strict_compat: bool = True) -> DataFrame
     ``strict_compat=False`` leaves the textual classes ``runoff`` and ``erocl`` as text.
     """
     text = set() if strict_compat else set(OPTIONAL_CLASSES)
-    wanted = ["cokey", *S.SOIL_NUMERIC_COLUMNS, *S.SOIL_TEXT_COLUMNS, *POINT]
+    wanted = ["cokey", "chkey", *S.SOIL_NUMERIC_COLUMNS, *S.SOIL_TEXT_COLUMNS, *POINT]
     numeric = set(S.SOIL_NUMERIC_COLUMNS) - text
     return soil.select(*[
         (to_number(F.col(n)) if n in numeric else F.col(n)).alias(n)
@@ -230,12 +230,15 @@ def aggregate_soil(
 
 
 def last_row(soil: DataFrame, keys: list[str] = POINT, order: list[str] | None = None) -> DataFrame:
-    """The last row of each place in survey order, for tables that were not aggregated."""
-    order = [c for c in (order or ["cokey", "prcent", "deptht"]) if c in soil.columns]
+    """The last row of each place in survey order, for tables that were not aggregated.
+
+    The horizon key takes part in the order and is dropped afterwards.
+    """
+    order = [c for c in (order or ["cokey", "chkey", "prcent", "deptht"]) if c in soil.columns]
     rest = [c for c in soil.columns if c not in keys]
     # The remaining columns break ties, so the choice never depends on the row order.
     best = F.max_by(F.struct(*rest), F.struct(*order, *[c for c in rest if c not in order]))
-    return soil.groupBy(*keys).agg(best.alias("__last")).select(*keys, "__last.*")
+    return soil.groupBy(*keys).agg(best.alias("__last")).select(*keys, "__last.*").drop("chkey")
 
 
 def update_from_points(

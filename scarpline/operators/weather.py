@@ -49,6 +49,20 @@ def _event_keys(events: DataFrame, place: list[str], date_col: str, days_back: i
     )
 
 
+def _needed_days(daily: DataFrame, keys: DataFrame, place: list[str], days_back: int) -> DataFrame:
+    """Chunked days of the (place, chunk) pairs that some event needs, within the events' dates.
+
+    The two dates come from one small aggregate and reach the scan as a filter; a day outside them, or
+    of another chunk, is in no event's window.
+    """
+    first, last = keys.agg(F.min(_FIRST), F.max(_EVENT)).first()
+    if first is None:
+        return _chunked_days(daily.limit(0), place, days_back)
+    near = daily.filter(F.col("date").between(F.lit(first), F.lit(last)))
+    wanted = keys.select(*place, _CHUNK).distinct()
+    return _chunked_days(near, place, days_back).join(wanted, [*place, _CHUNK], "left_semi")
+
+
 def _in_window(date: Column) -> Column:
     return (date >= F.col(_FIRST)) & (date <= F.col(_EVENT))
 
@@ -58,8 +72,8 @@ def weather_window(
     date_col: str = S.EVENT_DATE, days_back: int = S.WEATHER_DAYS_BACK,
 ) -> DataFrame:
     """Daily rows of each distinct event key, from ``days_back`` days before to the date itself."""
-    keys = _event_keys(events, place, date_col, days_back).alias("k")
-    days = _chunked_days(daily, place, days_back).alias("d")
+    found = _event_keys(events, place, date_col, days_back)
+    keys, days = found.alias("k"), _needed_days(daily, found, place, days_back).alias("d")
     on = [F.col(f"k.{c}") == F.col(f"d.{c}") for c in [*place, _CHUNK]]
     return keys.join(days, [*on, _in_window(F.col("d.date"))]).select(
         *[F.col(f"k.{p}") for p in place], F.col(_EVENT).alias(date_col), "d.date",
@@ -84,10 +98,10 @@ def weather_stats(
     starts = [F.lag("date", k - 1).over(by_day).alias(f"from{k}") for k in sums]
     later = [F.lead("date", n).over(by_day).alias(f"after{n}") for n in avg_days]
     running = F.sum("p").over(by_day.rowsBetween(Window.unboundedPreceding, 0)).alias("run")
-    days = _chunked_days(daily, place, days_back).select(
+    keys = _event_keys(events, place, date_col, days_back)
+    days = _needed_days(daily, keys, place, days_back).select(
         *place, _CHUNK, "date", "p", running, *sums.values(), *starts, *later
     )
-    keys = _event_keys(events, place, date_col, days_back)
     k, d = keys.alias("k"), days.alias("d")
     on = [F.col(f"k.{c}") == F.col(f"d.{c}") for c in [*place, _CHUNK]]
     joined = k.join(d, [*on, _in_window(F.col("d.date"))], "left")

@@ -12,9 +12,10 @@ from scarpline import schema as S
 from scarpline.operators import climate, soil, terrain, weather
 from scarpline.operators.columns import column_groups, quoted, with_prefix
 from scarpline.operators.profile import validation_report
+from scarpline.session import cut_lineage
 from scarpline.sources import read_events, save_collected
 
-Collector = Callable[[DataFrame], DataFrame]
+Collector = Callable[..., DataFrame]
 
 # Module names, in the order they run, and the other names they go by.
 MODULES = ["terrain", "soil", "weather", "climate"]
@@ -50,7 +51,7 @@ def enrich_soil(
     primary = soil.primary_properties(rows, strict_compat)
     if aggregate:
         classes = S.SOIL_TEXT_COLUMNS + ([] if strict_compat else soil.OPTIONAL_CLASSES)
-        table = soil.aggregate_soil(primary, method, classes=classes)
+        table = soil.aggregate_soil(primary.drop("chkey"), method, classes=classes)
     else:
         table = soil.last_row(primary)
     return soil.update_from_points(events, table, columns.lat, columns.lon)
@@ -73,9 +74,10 @@ def enrich_climate(
     scenarios: list[str] = S.SCENARIOS,
 ) -> DataFrame:
     """Adds the rolling climate value of every scenario at the event."""
-    rolling = climate.process_scenarios(grid, months, scenarios)
+    rolling, axes = climate.rolling_at_events(
+        events, grid, months, scenarios, columns.lat, columns.lon)
     return climate.forecast_at_events(
-        events, rolling=rolling, scenarios=scenarios,
+        events, rolling=rolling, axes=axes, scenarios=scenarios,
         lat_col=columns.lat, lon_col=columns.lon, date_col=columns.date,
     )
 
@@ -90,10 +92,10 @@ def collect_all(
     events: DataFrame, collectors: dict[str, Collector], modules: list[str] | None = None,
     stage_dir: str | None = None,
 ) -> Collected:
-    """Runs the chosen modules in order; one that fails leaves the table as it was.
+    """Runs the chosen modules in order; one that fails, also at run time, leaves the table as it was.
 
-    With ``stage_dir`` (a folder all executors reach) each module's result is written and read back,
-    which also catches failures at run time and keeps the plan short.
+    Each module's result is written and read back, so a success has really been computed and the plan
+    stays short: below ``stage_dir`` (a folder all executors reach), or as a checkpoint.
     """
     chosen = [ALIASES.get(m, m) for m in (modules or MODULES)]
     status = []
@@ -106,8 +108,10 @@ def collect_all(
                 path = f"{stage_dir}/{name}"
                 result.write.mode("overwrite").parquet(path)
                 result = events.sparkSession.read.schema(result.schema).parquet(path)
+            else:
+                result = cut_lineage(result)
         except Exception as error:  # isolation: the other modules still run
-            status.append((name, "failed", str(error).splitlines()[0][:200]))
+            status.append((name, "failed", str(error)))
             continue
         events = result
         status.append((name, "success", None))
@@ -116,11 +120,14 @@ def collect_all(
     return Collected(events, table)
 
 
-def collect_one(events: DataFrame, collectors: dict[str, Collector], data_type: str) -> DataFrame:
+def collect_one(
+    events: DataFrame, collectors: dict[str, Collector], data_type: str, **options
+) -> DataFrame:
+    """One module by either of its names; ``options`` go to its collector."""
     name = ALIASES.get(data_type, data_type)
     if name not in collectors:
         raise ValueError(f"unknown data type: {data_type}")
-    return collectors[name](events)
+    return collectors[name](events, **options)
 
 
 def validate_collected(df: DataFrame) -> DataFrame:

@@ -117,14 +117,13 @@ def asof_nearest(spark, sf):
 
 
 def climate_enrich(spark, sf):
-    found = climate.forecast_at_events(events(spark, sf), rolling=rolling(spark, sf))
+    rolled, axes = climate.rolling_at_events(events(spark, sf), grid(spark, sf), MONTHS)
+    found = climate.forecast_at_events(events(spark, sf), rolling=rolled, axes=axes)
     return rounded(found, list(FEATURES.values()), 3)
 
 
 def scenario_expand(spark, sf):
-    # Read three times below; the grid is small next to the expanded events.
-    rolled = rolling(spark, sf).persist()
-    axes = climate.grid_axes(rolled)
+    rolled, axes = climate.rolling_at_events(events(spark, sf), grid(spark, sf), MONTHS)
     enriched = climate.forecast_at_events(events(spark, sf), rolling=rolled, axes=axes)
     expanded = climate.expand_scenarios(enriched, rolling=rolled, years=YEARS,
                                         feature_map=FEATURES, axes=axes)
@@ -147,8 +146,15 @@ def shift_year(spark, sf):
 
 
 def parsed_dates(spark, sf):
-    text = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderpriority")).otherwise(
-        F.date_format("o_orderdate", "yyyy-MM-dd"))
+    """Dates written in four ways, and text that is no date."""
+    kind = F.col("o_orderkey") % 5
+    text = (
+        F.when(kind == 0, F.col("o_orderpriority"))
+        .when(kind == 1, F.date_format("o_orderdate", "MM/dd/yyyy"))
+        .when(kind == 2, F.date_format("o_orderdate", "MM/dd/yyyy hh:mm:ss a"))
+        .when(kind == 3, F.date_format("o_orderdate", "M/d/yyyy H:mm:ss"))
+        .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    )
     return load(spark, sf, "orders").select("o_orderkey", fn.to_date(text).alias("date"))
 
 
@@ -338,8 +344,8 @@ ORACLE = {
         f"CAST(o_orderdate + to_years(CAST({y} - year(o_orderdate) AS INTEGER)) AS DATE) AS in_{y}"
         for y in (1999, 2000, 2025, 2100))
         + f", CAST(o_orderdate AS DATE) - {S.WEATHER_DAYS_BACK} AS weather_from FROM orders",
-    "parse_date": "SELECT o_orderkey, TRY_CAST(CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority "
-                  "ELSE strftime(o_orderdate, '%Y-%m-%d') END AS DATE) AS date FROM orders",
+    "parse_date": "SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderdate AS DATE) END "
+                  "AS date FROM orders",
     "scenario_expand": f"WITH {_ROLLED}, {_EVENTS}, {_CELLS}, {_AT_EVENTS}, {_MOVED} SELECT "
                        "c_custkey, moved_date AS event_date, \"Latitude\", \"Longitude\", " + ", ".join(
         f"round(CASE WHEN scenario = '{s}' THEN scenario_precipitation ELSE {c} END, 3) AS {c}"

@@ -1,8 +1,12 @@
-"""Model queries; checked by row counts here and by closed forms in the tests.
+"""Model queries.
 
 Analogue: orders with their customer are events. An order is stable when its price and its
 customer's balance together stay low; one order in ten has the opposite label.
-Trees and rounds are kept small because the queries show the operators, not a tuned model.
+
+The jobs that fit many models (evaluation, selection, drop-column importance, stability model) run with
+the two closed-form models plugged in, whose SQL is given below. Single tree models are fitted at their
+full size. ``basic_models``, ``climate_workflow`` and ``complete_analysis`` fit some hundred tree models;
+they run with small ones, so that a check ends in minutes.
 """
 
 from __future__ import annotations
@@ -13,12 +17,16 @@ from scarpline import schema as S
 from scarpline.operators import models
 from scarpline.plans import analysis, datasets, forecast
 from scarpline.queries import climate as climate_queries
-from scarpline.queries.base import load
+from scarpline.queries.base import load, rounded
 
 FEATURES = ["o_totalprice", "c_acctbal", "c_nationkey", "order_month"]
 TREES, DEPTH, STAGES, ROUNDS = 10, 5, 5, 5
 
 
+PAIR = ["o_totalprice", "c_acctbal"]
+CLOSED = {"ridge": models.ridge(), "lda": models.discriminant()}
+
+
 def registry():
     return models.registry(TREES, DEPTH, STAGES, ROUNDS)
 
@@ -38,7 +46,7 @@ def labelled_orders(spark, sf):
 
 def _importances(fit_name):
     def run(spark, sf):
-        fitted = registry()[fit_name](labelled_orders(spark, sf), FEATURES, S.TARGET)
+        fitted = models.registry()[fit_name](labelled_orders(spark, sf), FEATURES, S.TARGET)
         return models.importance_table(spark, {fit_name: fitted.importances})
     return run
 
@@ -46,21 +54,36 @@ def _importances(fit_name):
 def _predictions(fit_name):
     def run(spark, sf):
         rows = labelled_orders(spark, sf)
-        return registry()[fit_name](rows, FEATURES, S.TARGET).predict(rows).select(
+        return models.registry()[fit_name](rows, FEATURES, S.TARGET).predict(rows).select(
+            S.ROW_ID, S.TARGET, "prediction")
+    return run
+
+
+def _closed_predictions(fit_name):
+    def run(spark, sf):
+        rows = labelled_orders(spark, sf)
+        return CLOSED[fit_name](rows, PAIR, S.TARGET).predict(rows).select(
             S.ROW_ID, S.TARGET, "prediction")
     return run
 
 
+def _broken(df, features, label):
+    raise ValueError("this estimator\nalways fails")
+
+
 def evaluate_models(spark, sf):
-    result = models.evaluate_all(labelled_orders(spark, sf), FEATURES, models=registry())
-    return result.scores.join(result.status, "model")
+    """Both closed forms and an estimator that fails, plugged in by name."""
+    plugged = {**CLOSED, "broken": _broken}
+    result = models.evaluate_all(labelled_orders(spark, sf), PAIR, models=plugged)
+    return rounded(result.status.join(result.scores, "model", "left"), ["cv_score", "cv_std"])
 
 
 def select_features(spark, sf):
-    chosen = models.select_features(labelled_orders(spark, sf), FEATURES, fit=registry()["gb"])
-    return spark.createDataFrame(
+    chosen = models.select_features(labelled_orders(spark, sf), PAIR, fit=CLOSED["lda"])
+    found = spark.createDataFrame(
         [(f, chosen.initial_score, chosen.final_score) for f in chosen.features],
         "feature string, initial_score double, final_score double")
+    return rounded(found, ["initial_score", "final_score"])
 
 
 def basic_models(spark, sf):
@@ -76,15 +99,17 @@ def basic_models(spark, sf):
 
 
 def drop_importance(spark, sf):
-    return models.drop_importances(labelled_orders(spark, sf), FEATURES, fit=registry()["gb"])
+    found = models.drop_importances(labelled_orders(spark, sf), PAIR, fit=CLOSED["lda"])
+    return rounded(found, ["drop_importance"])
 
 
 def stability_model(spark, sf):
     rows = labelled_orders(spark, sf)
-    model = models.train_stability_model(rows, FEATURES, fit=registry()["rf"])
-    return model.predict(rows).select(
+    model = models.train_stability_model(rows, PAIR, fit=CLOSED["ridge"])
+    found = model.predict(rows).select(
         S.ROW_ID, S.TARGET, "predicted", F.lit(model.train_accuracy).alias("train_accuracy"),
         F.lit(model.test_accuracy).alias("test_accuracy"), F.lit(model.cv_mean).alias("cv_mean"))
+    return rounded(found, ["train_accuracy", "test_accuracy", "cv_mean"])
 
 
 def climate_workflow(spark, sf):
@@ -117,8 +142,8 @@ QUERIES = {
     "model_gradient_boosting": _importances("gb"),
     "model_random_forest": _importances("rf"),
     "model_logistic": _importances("logistic"),
-    "model_ridge": _predictions("ridge"),
-    "model_discriminant": _predictions("lda"),
+    "model_ridge": _closed_predictions("ridge"),
+    "model_discriminant": _closed_predictions("lda"),
     "model_adaptive_boosting": _predictions("ada"),
     "evaluate_models": evaluate_models,
     "select_features": select_features,
@@ -129,4 +154,90 @@ QUERIES = {
     "complete_analysis": complete_analysis,
 }
 
-ORACLE: dict[str, str] = {}
+_ORDERS = f"""base AS (SELECT o_orderkey AS {S.ROW_ID}, o_totalprice AS x, c_acctbal AS y,
+      CAST((o_totalprice + 20 * c_acctbal < 330000) <> (md5(CAST(o_orderkey AS VARCHAR)) < '1a')
+      AS INTEGER) AS label FROM orders JOIN customer ON o_custkey = c_custkey)"""
+
+
+def _fits(train: str) -> str:
+    """CTEs from ``train`` (g, x, y, label), the training sets g, to ``fits``: score wx*x + wy*y + b."""
+    center = "(n1 - n0) / (n0 + n1)"
+    x0, y0 = "(n0 * mx0 + n1 * mx1) / (n0 + n1)", "(n0 * my0 + n1 * my1) / (n0 + n1)"
+    prior = "ln(n1 / n0)"
+    return f"""moments AS (SELECT g, label, CAST(count(*) AS DOUBLE) AS n, avg(x) AS mx, avg(y) AS my,
+      covar_pop(x, x) AS cxx, covar_pop(x, y) AS cxy, covar_pop(y, y) AS cyy FROM {train}
+      GROUP BY g, label),
+two AS (SELECT a.g, a.n AS n0, b.n AS n1, a.mx AS mx0, b.mx AS mx1, a.my AS my0, b.my AS my1,
+      b.mx - a.mx AS gx, b.my - a.my AS gy, a.n * b.n / (a.n + b.n) AS h,
+      a.n * a.cxx + b.n * b.cxx AS sxx, a.n * a.cxy + b.n * b.cxy AS sxy,
+      a.n * a.cyy + b.n * b.cyy AS syy
+      FROM moments a JOIN moments b ON a.g = b.g AND a.label = 0 AND b.label = 1),
+systems AS (SELECT *, 'lda' AS model, sxx / (n0 + n1 - 2) AS a, sxy / (n0 + n1 - 2) AS c,
+      syy / (n0 + n1 - 2) AS d, gx AS p, gy AS q FROM two UNION ALL
+      SELECT *, 'ridge', sxx + h * gx * gx + 1, sxy + h * gx * gy, syy + h * gy * gy + 1,
+      2 * h * gx, 2 * h * gy FROM two),
+weights AS (SELECT *, 'xy' AS kept, (d * p - c * q) / (a * d - c * c) AS wx,
+      (a * q - c * p) / (a * d - c * c) AS wy FROM systems UNION ALL
+      SELECT *, 'x', p / a, 0e0 FROM systems UNION ALL SELECT *, 'y', 0e0, q / d FROM systems),
+fits AS (SELECT g, model, kept, wx, wy, CASE model
+      WHEN 'lda' THEN {prior} - 0.5 * (wx * (mx0 + mx1) + wy * (my0 + my1))
+      ELSE {center} - wx * {x0} - wy * {y0} END AS b FROM weights),
+best AS (SELECT model, CASE WHEN abs(wx) > abs(wy) THEN 'x' WHEN abs(wx) < abs(wy) THEN 'y'
+      ELSE 'xy' END AS kept FROM fits WHERE g = -1 AND kept = 'xy')"""
+
+
+_VOTE = "CASE WHEN wx * x + wy * y + b > 0 THEN 1e0 ELSE 0e0 END"
+_BY_HASH = f"md5('{S.SEED}:' || CAST({S.ROW_ID} AS VARCHAR))"
+_EACH_FOLD = "train AS (SELECT k AS g, f.* FROM folded f CROSS JOIN range(-1, 5) r(k) WHERE fold <> k)"
+_F1 = """classes AS (SELECT model, kept, fold, class, CAST(count(*) FILTER (WHERE label = class) AS DOUBLE) AS n,
+      count(*) FILTER (WHERE prediction = class) AS claimed,
+      count(*) FILTER (WHERE label = class AND prediction = class) AS tp
+      FROM judged CROSS JOIN (SELECT unnest([0, 1]) AS class) GROUP BY ALL),
+by_fold AS (SELECT model, kept, fold, sum(n * coalesce(2e0 * tp / nullif(n + claimed, 0), 0)) / sum(n)
+      AS score FROM classes GROUP BY ALL),
+scores AS (SELECT model, kept, avg(score) AS score, stddev_pop(score) AS deviation FROM by_fold
+      GROUP BY ALL)"""
+_JUDGED = f"judged AS (SELECT model, kept, fold, label, {_VOTE} AS prediction FROM folded JOIN fits ON g = fold)"
+_SHUFFLED = f"""folded AS (SELECT *, (row_number() OVER (PARTITION BY label ORDER BY {_BY_HASH}) - 1) % 5
+      AS fold FROM base)"""
+_RUNS = f"folded AS (SELECT *, ntile(5) OVER (PARTITION BY label ORDER BY {S.ROW_ID}) - 1 AS fold FROM base)"
+_NAMES = "CASE s.kept WHEN 'x' THEN ['o_totalprice'] WHEN 'y' THEN ['c_acctbal'] ELSE ['o_totalprice', 'c_acctbal'] END"
+
+
+def _closed_sql(model: str) -> str:
+    return (f"WITH {_ORDERS}, train AS (SELECT -1 AS g, * FROM base), {_fits('train')} SELECT {S.ROW_ID}, "
+            f"label AS \"{S.TARGET}\", {_VOTE} AS prediction FROM base CROSS JOIN fits "
+            f"WHERE model = '{model}' AND kept = 'xy'")
+
+
+ORACLE = {
+    "model_ridge": _closed_sql("ridge"),
+    "model_discriminant": _closed_sql("lda"),
+    "evaluate_models": f"""WITH {_ORDERS}, {_SHUFFLED}, {_EACH_FOLD}, {_fits('train')}, {_JUDGED}, {_F1}
+SELECT s.model, 'success' AS status, CAST(NULL AS VARCHAR) AS message, round(score, 6) AS cv_score,
+       round(deviation, 6) AS cv_std FROM scores s JOIN best b ON s.model = b.model AND s.kept = b.kept
+UNION ALL SELECT 'broken', 'failed', 'this estimator' || chr(10) || 'always fails', NULL, NULL""",
+    "select_features": f"""WITH {_ORDERS}, {_RUNS}, {_EACH_FOLD}, {_fits('train')}, {_JUDGED}, {_F1}
+SELECT unnest({_NAMES}) AS feature, round(a.score, 6) AS initial_score, round(s.score, 6) AS final_score
+FROM scores s JOIN best b ON s.model = b.model AND s.kept = b.kept
+JOIN scores a ON a.model = s.model AND a.kept = 'xy' WHERE s.model = 'lda'""",
+    "drop_importance": f"""WITH {_ORDERS}, train AS (SELECT -1 AS g, * FROM base), {_fits('train')},
+right_share AS (SELECT kept, avg(CASE WHEN {_VOTE} = label THEN 1e0 ELSE 0e0 END) AS share
+      FROM base CROSS JOIN fits WHERE model = 'lda' GROUP BY kept)
+SELECT CASE o.kept WHEN 'y' THEN 'o_totalprice' ELSE 'c_acctbal' END AS feature,
+       round(a.share - o.share, 6) + 0.0 AS drop_importance
+FROM right_share a JOIN right_share o ON a.kept = 'xy' AND o.kept <> 'xy'""",
+    "stability_model": f"""WITH {_ORDERS}, split AS (SELECT *, percent_rank() OVER (PARTITION BY label
+      ORDER BY {_BY_HASH}) < 0.2 AS is_test FROM base),
+folded AS (SELECT *, ntile(5) OVER (PARTITION BY label ORDER BY {S.ROW_ID}) - 1 AS fold FROM split),
+train AS (SELECT k AS g, f.* FROM folded f CROSS JOIN range(0, 5) r(k) WHERE fold <> k
+      UNION ALL SELECT -2, * FROM folded WHERE NOT is_test), {_fits('train')},
+voted AS (SELECT f.*, g, CAST({_VOTE} = label AS INTEGER) AS hit, {_VOTE} AS vote FROM folded f
+      JOIN fits ON model = 'ridge' AND kept = 'xy' AND (g = fold OR g = -2)),
+shares AS (SELECT avg(hit) FILTER (WHERE g = -2 AND NOT is_test) AS train_share,
+      avg(hit) FILTER (WHERE g = -2 AND is_test) AS test_share FROM voted),
+runs AS (SELECT avg(share) AS cv FROM (SELECT avg(hit) AS share FROM voted WHERE g = fold GROUP BY fold))
+SELECT {S.ROW_ID}, label AS "{S.TARGET}", vote AS predicted, round(train_share, 6) AS train_accuracy,
+       round(test_share, 6) AS test_accuracy, round(cv, 6) AS cv_mean
+FROM voted CROSS JOIN shares CROSS JOIN runs WHERE g = -2""",
+}

@@ -190,7 +190,7 @@ def update_join(spark, sf):
 def last_soil_row(spark, sf):
     rows = _primary(spark, sf).filter("cokey IS NOT NULL")
     return rounded(soil.last_row(rows.select(
-        "latitude", "longitude", "cokey", "prcent", "deptht", "clay", "slope_r")),
+        "latitude", "longitude", "cokey", "chkey", "prcent", "deptht", "clay", "slope_r")),
         ["clay", "slope_r"])
 
 
@@ -253,7 +253,7 @@ _CUSTOMERS = """located AS (SELECT c_custkey, c_nationkey * 1e0 AS "Latitude",
 _NUMERIC = ["prcent", "slope_r", "slope", "deptht", "clay", "th33", "runoff"]
 _PRIMARY = f"""{_SURVEY}, {_chain("cokey")}, {_POINTS}, {_CUSTOMERS},
 places AS (SELECT DISTINCT "Latitude" AS latitude, "Longitude" AS longitude FROM located),
-rows_at AS (SELECT p.latitude, p.longitude, cokey, hydgrp, hzname, wetting_front, bd, """ + ", ".join(
+rows_at AS (SELECT p.latitude, p.longitude, cokey, chkey, hydgrp, hzname, wetting_front, bd, """ + ", ".join(
     f"{_number(c)} AS {c}" for c in _NUMERIC) + """ FROM places p
       LEFT JOIN points q ON p.latitude = q.latitude AND p.longitude = q.longitude
       LEFT JOIN chain c ON c.mukey = q.mukey)"""
@@ -321,7 +321,7 @@ ORACLE = {
         LEFT JOIN supply s ON l."Latitude" = s.latitude AND l."Longitude" = s.longitude""",
     "last_soil_row": f"""WITH {_PRIMARY} SELECT latitude, longitude, cokey, prcent, deptht,
         round(clay, 6) AS clay, round(slope_r, 6) AS slope_r FROM (SELECT *, row_number() OVER (
-        PARTITION BY latitude, longitude ORDER BY cokey DESC, prcent DESC NULLS LAST,
+        PARTITION BY latitude, longitude ORDER BY cokey DESC, chkey DESC NULLS LAST, prcent DESC NULLS LAST,
         deptht DESC NULLS LAST, clay DESC NULLS LAST, slope_r DESC NULLS LAST) AS rn FROM rows_at
         WHERE cokey IS NOT NULL) WHERE rn = 1""",
     "soil_enrich": f"""WITH {_PRIMARY}, means AS (SELECT latitude, longitude, """ + ", ".join(
