@@ -34,6 +34,8 @@ from scarpline.llm.words import batches_of, mixed, powers, window_hashes
 LENGTH = 50
 GRAM = 16
 SPAN = LENGTH - GRAM + 1  # grams of one string
+TURN_BYTES = 1 << 20
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 _LAST = np.iinfo(np.int64).max  # stands for a null id
 _SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -125,52 +127,69 @@ def _runs(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
-def _compared(dests: list[int], payloads: list[bytes]) -> Iterator[tuple[int, bytes]]:
-    """Back to every bucket: removed spans, as starts and lengths."""
-    found = [unpack(p) for p in payloads]
-    text = np.concatenate([f[0] for f in found])
-    docs = np.concatenate([f[1] for f in found])
-    lefts = np.concatenate([from_gaps(f[2]) for f in found])
-    before = np.concatenate([f[3] for f in found]).astype(np.int64)  # bytes ahead of the gram
-    sizes = np.concatenate([f[4] for f in found]).astype(np.int64)
+def _removed_strings(text: np.ndarray, docs: np.ndarray, before: np.ndarray, sizes: np.ndarray,
+                     gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(entry, first byte in its context, length) of what is removed, for all contexts of some grams."""
     ends = np.cumsum(sizes)
     begins = ends - sizes
-    total = _prefix(text)
-    name = _content(total, begins, ends, begins + before)
-    gram = (total[begins + before + GRAM] - total[begins + before]) * powers(len(total) + 1)[1][begins + before]
-
+    name = _content(_prefix(text), begins, ends, begins + before)
     _, same = np.unique(name, return_inverse=True)
     smallest = np.full(int(same.max(initial=-1)) + 1, _LAST, dtype=np.int64)
     np.minimum.at(smallest, same, docs)
-    whole = docs > smallest[same]
+    whole = np.flatnonzero(docs > smallest[same])
 
     # Of the smallest documents' contexts, those that meet another context of their gram.
-    held = np.flatnonzero(~whole)
+    held = np.flatnonzero(docs == smallest[same])
     _, bucket = np.unique(gram[held], return_inverse=True)
     pairs = np.unique(np.stack([bucket, same[held]]), axis=1)[0] if len(held) else bucket
-    several = np.bincount(pairs, minlength=int(bucket.max(initial=-1)) + 1) > 1
-    held = held[several[bucket]]
-    starts, stops = [begins[whole]], [ends[whole]]
-    owner = [np.flatnonzero(whole)]
-    if len(held):
-        places, final = refine(text, begins[held], sizes[held])
-        entry = np.repeat(held, np.maximum(sizes[held] - LENGTH + 1, 0))
-        least = np.full(int(final.max(initial=-1)) + 1, _LAST, dtype=np.int64)
-        np.minimum.at(least, final, docs[entry])
-        gone = docs[entry] > least[final]
-        marked = np.zeros(len(text) + 1, dtype=bool)
-        marked[places[gone]] = True
-        # Runs of removed strings, cut where a context ends: its last strings start LENGTH before.
-        first, last = _runs(marked[:len(text)])
-        starts.append(first)
-        stops.append(last + LENGTH - 1)
-        owner.append(np.searchsorted(ends, first, side="right"))
-    start, stop, entry = map(np.concatenate, (starts, stops, owner))
+    held = held[(np.bincount(pairs, minlength=int(bucket.max(initial=-1)) + 1) > 1)[bucket]]
+    if not len(held):
+        return whole, np.zeros(len(whole), dtype=np.int64), sizes[whole]
+    places, final = refine(text, begins[held], sizes[held])
+    entry = np.repeat(held, np.maximum(sizes[held] - LENGTH + 1, 0))
+    least = np.full(int(final.max(initial=-1)) + 1, _LAST, dtype=np.int64)
+    np.minimum.at(least, final, docs[entry])
+    marked = np.zeros(len(text), dtype=bool)
+    marked[places[docs[entry] > least[final]]] = True
+    # Runs of removed strings end with their context, whose last string starts LENGTH before its end.
+    first, last = _runs(marked)
+    owner = np.searchsorted(ends, first, side="right")
+    return (np.concatenate([whole, owner]),
+            np.concatenate([np.zeros(len(whole), dtype=np.int64), first - begins[owner]]),
+            np.concatenate([sizes[whole], last - first + LENGTH - 1]))
+
+
+def _compared(dests: list[int], payloads: list[bytes]) -> Iterator[tuple[int, bytes]]:
+    """Back to every bucket: removed spans, as starts and lengths.
+
+    The contexts of a part are compared in turns of about TURN_BYTES, each with all contexts of its grams.
+    """
+    found = [unpack(p) for p in payloads]
+    text = np.concatenate([f[0] for f in found])
+    docs = np.concatenate([f[1] for f in found])
+    lefts = np.concatenate([from_gaps(f[2]) for f in found])
+    before = np.concatenate([f[3] for f in found]).astype(np.int64)  # bytes ahead of the gram
+    sizes = np.concatenate([f[4] for f in found]).astype(np.int64)
     source = np.repeat(np.arange(len(found)), [len(f[1]) for f in found])
-    place = lefts[entry] + start - begins[entry]
+    del found
+    begins = np.cumsum(sizes) - sizes
+    gram = np.zeros(len(docs), dtype=np.uint64)
+    for i in range(GRAM):
+        gram = gram * _BASE + text[begins + before + i]
+    gram = mixed(gram)
+    turns = np.uint64(len(text) // TURN_BYTES + 1)
+    entries, starts, lengths = [], [], []
+    for _, at in by_part((gram % turns).astype(np.int64)):
+        entry, start, length = _removed_strings(
+            text[_ragged(begins[at], sizes[at])], docs[at], before[at], sizes[at], gram[at])
+        entries.append(at[entry])
+        starts.append(start)
+        lengths.append(length)
+    entry, start, length = map(np.concatenate, (entries, starts, lengths))
+    place = lefts[entry] + start
     for i, at in by_part(source[entry]):
         order = at[np.argsort(place[at], kind="stable")]
-        yield dests[i], pack(gaps(place[order]), (stop - start)[order].astype("<u2"))
+        yield dests[i], pack(gaps(place[order]), length[order].astype("<u2"))
 
 
 def remove_repeats(docs: DataFrame, **sizes: int) -> DataFrame:
