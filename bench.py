@@ -22,7 +22,8 @@ HEADLINE = [
     "soil_enrich", "weighted_group_mean", "terrain_stencil", "terrain_enrich", "crop_window",
     "rank_both_datasets", "consensus_rank", "stratified_folds", "contiguous_folds",
     "weighted_f1", "ridge_weights", "discriminant_weights", "model_gradient_boosting",
-    "model_adaptive_boosting",
+    "model_adaptive_boosting", "evaluate_models", "select_features", "drop_importance",
+    "stability_model", "climate_workflow", "complete_analysis", "collect_all",
 ]
 
 

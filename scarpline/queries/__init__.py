@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["profile", "weather", "climate", "soil", "terrain", "ranking", "scoring", "models"]
+MODULES = ["profile", "weather", "climate", "soil", "terrain", "ranking", "scoring", "models", "jobs"]
 
 
 def _merged(attribute: str) -> dict:

@@ -62,6 +62,16 @@ sweep AS (SELECT CAST(t AS BIGINT) AS threshold, CAST(features_kept AS INTEGER)
                  + CAST(0.3 AS DOUBLE) * (CAST(rows_kept AS DOUBLE) / n) AS weighted_ratio
           FROM total CROSS JOIN range(1, (SELECT n FROM total)) r(t)
           JOIN steps ON t >= start AND t < next_start AND features_kept > 0)"""
+# The first threshold of the best plateau, without listing every threshold.
+_PICKED = f"""picked AS (SELECT CAST(start AS BIGINT) AS threshold,
+      CAST(features_kept AS INTEGER) AS features_kept, rows_kept, n FROM steps CROSS JOIN total
+      WHERE start < n AND features_kept > 0
+      ORDER BY 0.7e0 * (CAST(features_kept AS DOUBLE) / {len(_NAMES)})
+             + 0.3e0 * (CAST(rows_kept AS DOUBLE) / n) DESC, start LIMIT 1)"""
+CHOSEN_COLUMNS = f"""WITH {_STEPS}, {_PICKED}, named AS (SELECT * FROM (VALUES """ + ", ".join(
+    f"({i}, '{n}')" for i, n in enumerate(_NAMES)) + """) v(i, name))
+SELECT row_number() OVER (ORDER BY i) - 1 AS position, named.name AS "column"
+FROM named JOIN counts ON named.name = counts.name JOIN picked ON nulls < threshold"""
 _BEST = "best AS (SELECT threshold FROM sweep ORDER BY weighted_ratio DESC, threshold LIMIT 1)"
 
 
@@ -301,11 +311,10 @@ ORACLE = {
                        + " AND ".join(
                            f"({n} IS NOT NULL OR (SELECT nulls FROM counts WHERE name = '{n}') "
                            ">= (SELECT threshold FROM best))" for n in _NAMES),
-    "retention_metrics": f"""WITH {_STEPS}, {_BEST}
-SELECT s.threshold, s.features_kept, s.rows_kept,
-       round(CAST(s.features_kept AS DOUBLE) / {len(_NAMES)}, 9) AS feature_share,
-       round(CAST(s.rows_kept AS DOUBLE) / n, 9) AS row_share
-FROM sweep s JOIN best b ON s.threshold = b.threshold CROSS JOIN total""",
+    "retention_metrics": f"""WITH {_STEPS}, {_PICKED}
+SELECT threshold, features_kept, rows_kept,
+       round(CAST(features_kept AS DOUBLE) / {len(_NAMES)}, 9) AS feature_share,
+       round(CAST(rows_kept AS DOUBLE) / n, 9) AS row_share FROM picked""",
     "clean_columns": """SELECT p_size, p_retailprice AS "Precipitation_1", p_retailprice AS price,
         p_type AS "Stability" FROM part""",
     "clean_columns_for_evaluation": """SELECT p_size AS size_nc, p_size, p_retailprice AS price,

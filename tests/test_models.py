@@ -200,3 +200,22 @@ def test_stability_model_fills_and_keeps_nulls(frame):
     assert by_key(predicted, "row_id")[3]["x1"] is None and predicted.count() == 400
     with pytest.raises(ValueError, match="complete row"):
         models.train_stability_model(gaps.filter("row_id = 3"), X)
+
+
+def test_rank_over_many_buckets(spark):
+    df = spark.createDataFrame([(i % 3, (i * 37) % 1000) for i in range(1000)], "g int, k int")
+    ranked = ordering.ordered_rank(df, "g", "k", rows_per_bucket=1)
+    by_group = {}
+    for row in ranked.collect():
+        by_group.setdefault(row["g"], []).append((row["k"], row["rank"]))
+    for pairs in by_group.values():
+        assert [r for _, r in sorted(pairs)] == list(range(1, len(pairs) + 1))
+
+
+def test_labels_of_any_two_values(spark):
+    df = spark.createDataFrame([(1,), (2,), (None,)], "y int")
+    assert [r["y"] for r in models.binary_labels(df, "y").collect()] == [0, 1, None]
+    with pytest.raises(ValueError, match="binary"):
+        models.binary_labels(spark.createDataFrame([(1,), (2,), (3,)], "y int"), "y")
+    with pytest.raises(ValueError, match="0 and 1"):
+        linear.fit_ridge(spark.createDataFrame([(1, 2.0), (2, 3.0), (2, 5.0)], "y int, x double"), ["x"], "y")

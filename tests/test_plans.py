@@ -168,3 +168,28 @@ def test_climate_workflow(spark, events, tmp_path):
         forecast.climate_workflow(full.drop("Stability"), grid, years=[2022])
     with pytest.raises(ValueError, match="scenarios"):
         forecast.climate_workflow(full, grid.filter("scenario = 'hist'"))
+
+
+def test_row_id_does_not_depend_on_the_files(spark, events, tmp_path):
+    rows = events.drop("row_id").unionByName(events.drop("row_id").limit(3))
+    found = []
+    for parts in (1, 5):
+        path = str(tmp_path / f"in{parts}")
+        write_table(rows.repartition(parts), path, "parquet")
+        ids = [r[S.ROW_ID] for r in read_events(spark, path).collect()]
+        assert len(set(ids)) == len(ids) == 163
+        found.append(sorted(ids))
+    assert found[0] == found[1]
+
+
+def test_prepare_counts_nan_as_missing(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (float("nan"), 3.0), (4.0, 5.0)], "a double, b double")
+    bundle = datasets.prepare(df, key="none")
+    assert bundle.no_nulls.columns == ["b"] and bundle.profile.nulls == {"a": 1, "b": 0}
+
+
+def test_collection_without_stage_reports_late_failures(events):
+    got = collection.collect_all(events, {
+        "soil": lambda df: df.withColumn("soil_x", F.raise_error(F.lit("one\ntwo")).cast("double"))})
+    row = got.status.first()
+    assert row["status"] == "failed" and "one\ntwo" in row["message"] and got.data.count() == 160

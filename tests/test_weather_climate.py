@@ -168,3 +168,32 @@ def test_transition_golden(spark):
         "scenario string, original double, predicted double")
     row = transitions.stability_report(transitions.transition_counts(pairs)).first()
     assert tuple(row) == ("s", 4, 1, 1, 1, 1, 0.5, 0.0)
+
+
+def test_long_axis_decided_one_by_one(spark):
+    """A long axis does not move the short one, and an axis without values gives null on either path."""
+    grid = spark.createDataFrame([(float(i), float(i % 3), None) for i in range(40)], "a double, b double, c double")
+    named = {n: F.col(n) for n in ("a", "b", "c")}
+    for limit in (5, 100):
+        axes = nearest.load_axes(grid, named, max_values=limit, parts=4)
+        assert axes["c"] is None
+        rows = spark.createDataFrame([(17.4, 1.6)], "x double, y double")
+        for name, target, expected in (("a", "x", 17.0), ("b", "y", 2.0), ("c", "x", None)):
+            assert nearest.with_nearest(rows, F.col(target), axes[name], "out").first()["out"] == expected
+
+
+def test_dates_in_several_forms(spark):
+    texts = ["2020-01-15", "01/15/2020", "1/15/2020 12:00:00 AM", "2020-01-15 13:00:00", "2020/1/15", "soon", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = [r[0] for r in df.select(fn.to_date(F.col("t"))).collect()]
+    assert found == [dt.date(2020, 1, 15)] * 5 + [None, None]
+    assert df.agg(fn.unreadable_dates(F.col("t"))).first()[0] == 1
+
+
+def test_expansion_of_a_series_with_overlap(spark):
+    grid = _grid(spark)
+    rolling = climate.process_scenarios(grid, 3, drop_overlap=False)
+    events = spark.createDataFrame([(1, 38.0, -120.0, dt.date(2020, 6, 15))],
+                                   "row_id long, Latitude double, Longitude double, event_date date")
+    expanded = climate.expand_scenarios(events, rolling=rolling, years=[2021, 2022])
+    assert expanded.count() == 2 * len(S.SCENARIOS)
