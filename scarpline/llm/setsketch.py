@@ -15,8 +15,9 @@ Only connectivity is needed, so pairs inside a group that is already connected a
 1. Documents with equal sets are one class, represented by its smallest id.
 2. Every class is compared with the smallest class it shares a band with. The verified links form a
    forest, whose trees are the first components.
-3. In bands that still hold several components, classes of different components are compared by
-   likelihood in blocks of ``CELL`` by ``CELL``; survivors are verified, and components merge.
+3. In bands that still hold several components, classes of different components meet in cells of
+   ``CELL`` by ``CELL``. Likely pairs are verified there, likeliest first, unless links found in the cell
+   connect them already; only the links that connect leave the cell.
 
 Words are runs outside ``[\\x20\\x09-\\x0D]`` after A-Z are lower-cased; a text of 1 to 4 words has its
 whole sequence as one shingle; null, empty and blank texts have no shingle and no link. Rows that
@@ -31,10 +32,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scarpline.llm.common import id_and_text, rows
+from scarpline.llm.common import id_and_text, once_each, rows, with_row_key
 from scarpline.llm.components import components, roots
 from scarpline.llm.words import mixed, window_hashes, words_of
 from scarpline.session import cut_lineage
@@ -48,7 +49,7 @@ BASE = 1.001
 RATE = 20.0
 LARGEST = (1 << 16) - 1
 DOUBT = 5.0
-CELL = 2048
+CELL = 1024
 _LOWER = bytes(range(256)).lower()
 _STEP = 4096  # shingles hashed against all registers at once
 
@@ -130,8 +131,9 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digests.append(hashlib.blake2b(elements.tobytes(), digest_size=16).digest() if len(elements) else None)
             sketches.append(registers(elements).tobytes() if len(elements) else None)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-             pa.array(sketches, pa.binary())], ["doc_id", "n_shingles", "digest", "sketch"])
+            [pa.array(ids, pa.int64()), batch.column("row_hash"), pa.array(sizes, pa.int64()),
+             pa.array(digests, pa.binary()), pa.array(sketches, pa.binary())],
+            ["doc_id", "row_hash", "n_shingles", "digest", "sketch"])
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,37 +159,81 @@ def _verified(batches: Iterator[pa.RecordBatch], similar: int) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+def _links(cell: list[tuple], similar: int, cut: float) -> list[tuple[int, int]]:
+    """Verified links that connect different components of a cell; at most one row of it each.
+
+    Rows are (key, l, r, side, rep, comp, n, sketch, text); side is 0 right, 1 left, 2 both. A pair is
+    looked at only in the first band it shares, and not if links of this cell already connect it.
+    """
+    left, right = [r for r in cell if r[3]], [r for r in cell if r[3] != 1]
+    if not left or not right:
+        return []
+    sketches = np.frombuffer(b"".join(r[7] for r in right), dtype=np.uint16).reshape(-1, REGISTERS)
+    side, rep, comp, n = (np.array([r[i] for r in right], dtype=np.int64) for i in (3, 4, 5, 6))
+    band = int(np.argmax(band_keys(sketches[0]) == cell[0][0]))
+    top: dict[int, int] = {}
+    sets: dict[bytes, np.ndarray] = {}
+    out = []
+
+    def root(c: int) -> int:
+        while top.get(c, c) != c:
+            c = top[c]
+        return c
+
+    def elements(text: bytes) -> np.ndarray:
+        if text not in sets:
+            sets[text] = next(shingle_sets([text]))
+        return sets[text]
+
+    for row in left:
+        fit = (comp != row[5]) & (100 * np.minimum(n, row[6]) >= similar * np.maximum(n, row[6]))
+        if row[3] == 2:
+            fit &= (side != 2) | (rep > row[4])
+        at = np.flatnonzero(fit)
+        if not len(at):
+            continue
+        sketch, others = np.frombuffer(row[7], dtype=np.uint16), sketches[at]
+        equal = sketch == others
+        first = equal.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
+        # An equal register has about the probability of the similarity.
+        ok = (first == band) & (equal.sum(axis=1) >= REGISTERS * (cut - 0.15))
+        if not ok.any():
+            continue
+        at, others = at[ok], others[ok]
+        above, below = (sketch > others).sum(axis=1), (sketch < others).sum(axis=1)
+        j = estimate(above, below, np.full(len(at), float(row[6])), n[at].astype(float))
+        one = None
+        for i in at[np.argsort(-j)][:int((j >= cut).sum())].tolist():
+            mine, others_ = root(row[5]), root(int(comp[i]))
+            if mine == others_:
+                continue
+            one = elements(row[8]) if one is None else one
+            other = elements(right[i][8])
+            common = len(np.intersect1d(one, other, assume_unique=True))
+            if common and 100 * common >= similar * (len(one) + len(other) - common):
+                top[max(mine, others_)] = min(mine, others_)
+                out.append((row[4], int(rep[i])))
+    return out
+
+
 def _cells(batches: Iterator[pa.RecordBatch], similar: int) -> Iterator[pa.RecordBatch]:
-    """Likely pairs of each cell; rows come sorted by cell, a cell fits in memory."""
+    """Verified links (a, b) of each cell; rows come sorted by cell, a cell fits in memory."""
     cut = similar / 100 - DOUBT * np.sqrt(similar / 100 * (1 - similar / 100) / REGISTERS)
     held: list[tuple] = []
 
-    def likely() -> pa.RecordBatch:
-        a, b = [], []
-        left, right = [r for r in held if r[3]], [r for r in held if not r[3]]
-        if left and right:
-            sketch_r = np.frombuffer(b"".join(r[7] for r in right), dtype=np.uint16).reshape(-1, REGISTERS)
-            rep_r, comp_r, n_r = (np.array([r[i] for r in right], dtype=np.int64) for i in (4, 5, 6))
-            for row in left:
-                rep, comp, n = row[4:7]
-                sketch = np.frombuffer(row[7], dtype=np.uint16)
-                fit = (comp_r != comp) & (100 * np.minimum(n_r, n) >= similar * np.maximum(n_r, n))
-                at = np.flatnonzero(fit)
-                above, below = (sketch > sketch_r[at]).sum(axis=1), (sketch < sketch_r[at]).sum(axis=1)
-                near = estimate(above, below, np.full(len(at), float(n)), n_r[at].astype(float)) >= cut
-                for other in rep_r[at[near]].tolist():
-                    a.append(min(rep, other))
-                    b.append(max(rep, other))
+    def links() -> pa.RecordBatch:
+        a, b = zip(*found, strict=True) if (found := _links(held, similar, cut)) else ((), ())
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        columns = [c.cast(pa.binary()) if name == "text" else c for name, c in zip(batch.schema.names, batch.columns, strict=True)]
+        for row in zip(*(c.to_pylist() for c in columns), strict=True):
             if held and row[:3] != held[0][:3]:
-                yield likely()
+                yield links()
                 held = []
             held.append(row)
     if held:
-        yield likely()
+        yield links()
 
 
 def _check(pairs: DataFrame, texts: DataFrame, similar: int) -> DataFrame:
@@ -199,11 +245,33 @@ def _check(pairs: DataFrame, texts: DataFrame, similar: int) -> DataFrame:
         lambda batches: _verified(batches, similar), "a long, b long").distinct()
 
 
+def _open_links(members: DataFrame, comps: DataFrame, facts: DataFrame, texts: DataFrame, similar: int,
+                cell: int) -> DataFrame:
+    """Verified links (a, b) between components that share a band; bands with one component are done."""
+    placed = cut_lineage(members.select("key", "rep").join(comps, "rep"))
+    open_ = placed.groupBy("key").agg(
+        F.min("comp").alias("main"), F.max("comp").alias("last"), F.count(F.lit(1)).alias("m")
+    ).where("main < last").select("key", "main", "m")
+    held = texts.select(F.col("doc_id").alias("rep"), "text")
+    rest = placed.join(open_, "key").join(facts, "rep").join(held, "rep").withColumns({
+        "blocks": (F.floor(F.col("m") / cell) + 1).cast("long"), "other": F.col("comp") != F.col("main")})
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    row = ["rep", "comp", "n", "sketch", "text"]
+    # Every pair of different components has a member outside the main one: that is its left. In a band
+    # of one block the same row stands on both sides.
+    both = F.when(F.col("other") & (F.col("blocks") == 1), 2).otherwise(0)
+    right = rest.select("key", every.alias("l"), own.alias("r"), both.alias("side"), *row)
+    left = rest.where("other and blocks > 1").select("key", own.alias("l"), every.alias("r"), F.lit(1).alias("side"), *row)
+    cells = left.union(right).repartition("key", "l", "r").sortWithinPartitions("key", "l", "r")
+    return cells.mapInArrow(lambda batches: _cells(batches, similar), "a long, b long")
+
+
 def near_groups(docs: DataFrame, similar: int = SIMILAR, cell: int = CELL) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
+    """One row per document: doc_id, n_shingles, component_id, kept and row_hash, a hash of the text."""
     text_rows = id_and_text(docs)
-    sketched = cut_lineage(text_rows.mapInArrow(
-        _sketched, "doc_id long, n_shingles long, digest binary, sketch binary"))
+    sketched = cut_lineage(text_rows.select("doc_id", "text", F.xxhash64("text").alias("row_hash")).mapInArrow(
+        _sketched, "doc_id long, row_hash long, n_shingles long, digest binary, sketch binary"))
     classes = sketched.where("digest is not null").groupBy("digest").agg(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")
     ).where("rep is not null")
@@ -222,44 +290,31 @@ def near_groups(docs: DataFrame, similar: int = SIMILAR, cell: int = CELL) -> Da
     trees = roots(alone.join(linked.withColumnRenamed("root", "__root"), "node", "left").select(
         "node", F.coalesce("__root", "root").alias("root")))
 
-    # Bands that still hold several components.
-    comps = trees.select(F.col("node").alias("rep"), F.col("root").alias("comp"))
-    placed = cut_lineage(members.select("key", "rep").join(comps, "rep"))
-    open_ = placed.groupBy("key").agg(
-        F.min("comp").alias("main"), F.max("comp").alias("last"), F.count(F.lit(1)).alias("m"))
-    open_ = cut_lineage(open_.where("main < last").select("key", "main", "m"))
     facts = classes.select("rep", "n", "sketch").groupBy("rep").agg(
         F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    rest = placed.join(open_, "key").join(facts, "rep")
-    blocks = F.floor(F.col("m") / cell) + 1
-    own = F.pmod(F.xxhash64("rep"), blocks)
-    every = F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1))
-    side = ["rep", "comp", "n", "sketch"]
-    # Every pair of different components has a member outside the main one: that is its left.
-    left = rest.where("comp <> main").select("key", own.alias("l"), every.alias("r"), F.lit(True).alias("left"), *side)
-    right = rest.select("key", every.alias("l"), own.alias("r"), F.lit(False).alias("left"), *side)
-    cells = left.union(right).repartition("key", "l", "r").sortWithinPartitions("key", "l", "r")
-    likely = cells.mapInArrow(lambda batches: _cells(batches, similar), "a long, b long").distinct()
-    links = _check(likely, texts, similar)
-    joined = links.join(comps.select(F.col("rep").alias("a"), F.col("comp").alias("ca")), "a").join(
-        comps.select(F.col("rep").alias("b"), F.col("comp").alias("cb")), "b")
-    merged = components(joined.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-
-    final = trees.join(merged.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select(
-        F.col("node").alias("rep"), F.coalesce("top", "root").alias("top"))
+    comps = trees.select(F.col("node").alias("rep"), F.col("root").alias("comp"))
+    links = cut_lineage(_open_links(members, comps, facts, texts, similar, cell).distinct())
+    if not links.isEmpty():
+        joined = links.join(comps.select(F.col("rep").alias("a"), F.col("comp").alias("ca")), "a").join(
+            comps.select(F.col("rep").alias("b"), F.col("comp").alias("cb")), "b")
+        merged = components(joined.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        trees = trees.join(merged.select(F.col("node").alias("root"), F.col("root").alias("__top")), "root", "left").select(
+            "node", F.coalesce("__top", "root").alias("root"))
+
+    final = trees.select(F.col("node").alias("rep"), F.col("root").alias("top"))
     of_class = cut_lineage(classes.select("digest", "rep").join(final, "rep", "left").select(
         "digest", F.coalesce("top", "rep").alias("top")))
     # A class may hold a large share of all rows; its side here is unique.
-    found = sketched.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
+    found = sketched.drop("sketch").join(of_class, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("top"))
     return found.select(
         "doc_id", "n_shingles", component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+        F.when(component.isNull(), True).otherwise(F.coalesce(F.col("doc_id") == component, F.lit(False))).alias("kept"),
+        "row_hash")
 
 
 def keep_first(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """The rows of ``docs``, all columns, that :func:`near_groups` keeps, one per id and text."""
-    dropped = near_groups(docs, similar).where("not kept").select(F.col("doc_id").alias("__dropped")).distinct()
-    rows_ = docs.join(dropped, docs.doc_id.eqNullSafe(F.col("__dropped")), "left_anti")
-    order = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1))
-    return rows_.withColumn("__row", F.row_number().over(order)).where("__row = 1").drop("__row")
+    kept = near_groups(docs, similar).where("kept").select(
+        F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__id"), F.col("row_hash").alias("__hash"))
+    return once_each(with_row_key(docs).join(kept, ["__id", "__hash"], "left_semi"), docs.columns)
