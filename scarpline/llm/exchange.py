@@ -5,9 +5,10 @@ cost far more than the hash. Documents are therefore dealt into buckets of about
 text; a bucket's facts leave as one row per part, each a few compressed arrays. A part is the range
 of hashes that one call compares; its answers go back to the buckets they came from.
 
-A bucket and a part have a bounded size at any table size, as the numbers of both follow the text.
-Facts that repeat inside a bucket are merged before they leave, so that a passage that a large share
-of all documents holds costs one fact per bucket.
+The numbers of buckets and parts follow the text, so both keep their size at any table size as long as
+no single hash has most facts. Equal facts are merged inside a bucket before they leave, so that a
+passage that a large share of all documents holds costs one fact per bucket. An operator that sends
+different facts under one hash, as op5 does with contexts, must bound their number itself.
 
 Inside a bucket documents are ordered by id and text; a fact's place counts through that order, and so
 needs no id. Rows with the same id and text are interchangeable.

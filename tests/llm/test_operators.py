@@ -1,5 +1,6 @@
 """Every operator against a plain statement of its result, and on odd rows and empty tables."""
 
+import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -60,6 +61,27 @@ def test_repeated_bytes(both, sizes):
     assert found == sorted(brute.removed_bytes(texts(both)), key=key)
 
 
+def test_frequent_phrase_in_varied_surroundings_is_no_single_part(spark, monkeypatch):
+    phrase = "as has often been said in such matters, "
+    rows = [(None if i % 7 == 0 else i % 9000, f"{hash_hex(i)}{phrase}{hash_hex(-i if i % 5 else 3)}")
+            for i in range(suffix.HOT + 1500)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    sent = []
+    compared = suffix.Exchange.compared
+    monkeypatch.setattr(suffix.Exchange, "compared", lambda self, facts, by: sent.append(facts) or compared(self, facts, by))
+    found = got(suffix.remove_repeats(frame, bucket_bytes=1 << 18, part_bytes=1 << 16),
+                "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert found == sorted(brute.removed_bytes(rows), key=key)
+    assert sum(r[2] for r in found) > 0
+    parts = [r[0] for r in sent[1].where("part >= 0").groupBy("part").agg(F.sum(F.length("payload"))).select(
+        F.col("sum(length(payload))")).collect()]
+    assert max(parts) < 0.2 * sum(parts)
+
+
+def hash_hex(i):
+    return hashlib.sha256(str(i).encode()).hexdigest()[:40]
+
+
 def test_cover_moves_any_two_positions_onto_it():
     p, cover = substring.PERIOD, set(substring.COVER)
     for i in range(p):
