@@ -5,8 +5,7 @@ customer's balance together stay low; one order in ten has the opposite label.
 
 The jobs that fit many models (evaluation, selection, drop-column importance, stability model) run with
 the two closed-form models plugged in, whose SQL is given below. Single tree models are fitted at their
-full size. ``basic_models``, ``climate_workflow`` and ``complete_analysis`` fit some hundred tree models;
-they run with small ones, so that a check ends in minutes.
+full size, and so are those of ``basic_models``, ``climate_workflow`` and ``complete_analysis``.
 """
 
 from __future__ import annotations
@@ -20,17 +19,10 @@ from scarpline.queries import climate as climate_queries
 from scarpline.queries.base import load, rounded
 
 FEATURES = ["o_totalprice", "c_acctbal", "c_nationkey", "order_month"]
-TREES, DEPTH, STAGES, ROUNDS = 10, 5, 5, 5
-
-
 PAIR = ["o_totalprice", "c_acctbal"]
 CLOSED = {"ridge": models.ridge(), "lda": models.discriminant()}
 
 
-def registry():
-    return models.registry(TREES, DEPTH, STAGES, ROUNDS)
-
-
 def labelled_orders(spark, sf):
     joined = load(spark, sf, "orders").join(
         load(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
@@ -86,11 +78,21 @@ def select_features(spark, sf):
     return rounded(found, ["initial_score", "final_score"])
 
 
+def orders_with_gaps(spark, sf):
+    return labelled_orders(spark, sf).withColumns({
+        "order_month": F.when(F.col(S.ROW_ID) % 3 != 0, F.col("order_month")),
+        "c_nationkey": F.when(F.col(S.ROW_ID) % 7 != 0, F.col("c_nationkey")),
+    })
+
+
 def basic_models(spark, sf):
-    rows = labelled_orders(spark, sf)
+    """Both importance models on the optimized pair of datasets."""
+    prepared = datasets.prepare(orders_with_gaps(spark, sf))
+    fits = models.registry()
+    pair = datasets.optimize_both(prepared.no_nulls, prepared.optimal, fit=fits["gb"])
     tables = models.basic_importances(
-        {"a": (rows, FEATURES), "b": (rows, FEATURES[:3])},
-        models={n: registry()[n] for n in ("gb", "rf")})
+        {"a": (pair.a.data, pair.a.features), "b": (pair.b.data, pair.b.features)},
+        models={n: fits[n] for n in ("gb", "rf")})
     parts = [t.withColumn("table", F.lit(n)) for n, t in tables.items()]
     merged = parts[0]
     for part in parts[1:]:
@@ -122,20 +124,20 @@ def climate_workflow(spark, sf):
     )
     run = forecast.climate_workflow(
         events, climate_queries.grid(spark, sf), years=climate_queries.YEARS,
-        fit=registry()["rf"])
+        fit=models.registry()["rf"])
     return run.stability.report
 
 
 def complete_analysis(spark, sf):
-    """Null sweep to final ranking on orders with gaps."""
-    rows = labelled_orders(spark, sf)
-    gaps = rows.withColumns({
-        "order_month": F.when(F.col(S.ROW_ID) % 3 != 0, F.col("order_month")),
-        "c_nationkey": F.when(F.col(S.ROW_ID) % 7 != 0, F.col("c_nationkey")),
-    })
-    few = {name: registry()[name] for name in ("logistic", "gb", "ridge", "lda")}
-    prepared = datasets.prepare(gaps)
-    return analysis.run_analysis(prepared, registry=few, with_plots=False).rankings
+    """Null sweep to final ranking on orders with gaps: the rankings, then the rows of the plot tables."""
+    result = analysis.run_analysis(datasets.prepare(orders_with_gaps(spark, sf)), registry=models.registry())
+    merged = result.rankings.withColumn("table", F.lit("rankings"))
+    for dataset, plots in result.plots.items():
+        for name, table in vars(plots).items():
+            part = table.withColumnsRenamed({"Feature": "feature"}).withColumns(
+                {"dataset": F.lit(dataset), "table": F.lit(name)})
+            merged = merged.unionByName(part, allowMissingColumns=True)
+    return merged
 
 
 QUERIES = {

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from helpers import by_key
 from scarpline.operators import folds, linear, metrics, models, ordering
+from scarpline.queries import models as registered
 
 X = ["x0", "x1", "odd name.1"]
 
@@ -219,3 +220,29 @@ def test_labels_of_any_two_values(spark):
         models.binary_labels(spark.createDataFrame([(1,), (2,), (3,)], "y int"), "y")
     with pytest.raises(ValueError, match="0 and 1"):
         linear.fit_ridge(spark.createDataFrame([(1, 2.0), (2, 3.0), (2, 5.0)], "y int, x double"), ["x"], "y")
+
+
+def test_complete_analysis_query_runs_all_models_and_plots(spark, monkeypatch):
+    ridge, fitted = models.ridge(), set()
+
+    def recorded(name):
+        return lambda *args: fitted.add(name) or ridge(*args)
+
+    names = list(models.registry())
+    # Without arguments: the query asks for the models at their full size.
+    monkeypatch.setattr(models, "registry", lambda: {n: recorded(n) for n in names})
+    found = registered.complete_analysis(spark, "/root/testdata/sf0.001")
+    assert fitted == set(names)
+    assert {(r["dataset"], r["table"]) for r in found.select("dataset", "table").distinct().collect()} == {
+        (d, t) for d in ("no_nans", "optimal")
+        for t in ("rankings", "boxes", "class_boxes", "medians", "drop_importances")}
+
+
+def test_basic_models_query_takes_the_optimized_pair(spark, monkeypatch):
+    ridge, seen = models.ridge(), []
+    monkeypatch.setattr(models, "registry", lambda: {"gb": ridge, "rf": ridge})
+    monkeypatch.setattr(models, "basic_importances", lambda tables, models: seen.append(tables) or {
+        "gb_a": spark.range(1)})
+    registered.basic_models(spark, "/root/testdata/sf0.001")
+    (a, _), (b, _) = seen[0]["a"], seen[0]["b"]
+    assert a.count() != b.count()
