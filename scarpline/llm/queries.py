@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scarpline.llm import chat, exact, huffman, mixing, packing, quality, repetition, setsketch, substring, suffix
+from scarpline.llm import (
+    chat, exact, filters, huffman, mixing, notices, packing, periodic, quality, repetition, setsketch, substring, suffix,
+)
 from scarpline.llm.common import documents, shared_folder
 
 
@@ -53,6 +55,19 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(documents(spark, sf_dir))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return filters.audit(filters.counted_masks(documents(spark, sf_dir), labels))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.periodic_runs(periodic.looped(documents(spark, sf_dir))))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notices.scan(documents(spark, sf_dir)).drop("spans")
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_substring_dedup": op2_substring_dedup,
@@ -64,5 +79,8 @@ QUERIES = {
     "op8_token_output": op8_token_output,
     "op9_packing": op9_packing,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_license_scan": op13_license_scan,
 }
-ORACLE: dict[str, str] = {"op6_chat_formatting": chat.ROTATE_SQL}
+ORACLE: dict[str, str] = {"op6_chat_formatting": chat.ROTATE_SQL, "op11_filter_audit": filters.AUDIT_SQL}
