@@ -1,8 +1,9 @@
 """The six classifiers, feature selection, cross-validation and importances.
 
 A classifier is any function ``fit(df, features, label) -> Fitted``; the registry maps names to
-such functions, so other estimators are plugged in by adding an entry. Training runs in MLlib or on
-class moments (see ``linear``); the driver sees models, metrics and one number per feature.
+such functions, so other estimators are plugged in by adding an entry. The six also fit many ``Job``s of
+one table at once (``fit_many``): folds, selections and left-out features share their passes. The driver
+sees models, metrics and one number per feature.
 """
 
 from __future__ import annotations
@@ -13,25 +14,23 @@ from dataclasses import dataclass
 from functools import reduce
 from math import log
 
+import numpy as np
 from pyspark import StorageLevel
-from pyspark.ml.classification import (
-    GBTClassifier, LogisticRegression, RandomForestClassifier,
-)
-from pyspark.ml.feature import Bucketizer, VectorAssembler
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scarpline import schema as S
-from scarpline.operators import linear, metrics, ranking
+from scarpline.operators import boosting, fitting, forest, linear, metrics, ranking
 from scarpline.operators.columns import align_features, quoted
+from scarpline.operators.fitting import Job
 from scarpline.operators.profile import drop_null_rows
 from scarpline.operators.folds import contiguous_folds, shuffled_folds, stratified_split
 from scarpline.session import cut_lineage
 
-# Cuts tried per feature in the tree models; more cost memory, never rows.
+# Cuts tried per feature in boosting; more cost memory, never rows.
 MAX_BINS = 256
 IMPORTANCE = "model string, feature string, importance double"
-_VECTOR = "__features"
 
 
 @dataclass(frozen=True)
@@ -45,72 +44,66 @@ class Fitted:
 Fit = Callable[[DataFrame, list[str], str], Fitted]
 
 
-def _vectors(df: DataFrame, features: list[str]) -> DataFrame:
-    # Columns get plain names first: feature names may hold dots, blanks and colons.
-    plain = [f"__f{i}" for i in range(len(features))]
-    named = df.withColumns({
-        p: quoted(f).cast("double") for p, f in zip(plain, features)
-    })
-    assembler = VectorAssembler(inputCols=plain, outputCol=_VECTOR, handleInvalid="error")
-    return assembler.transform(named).drop(*plain)
+@dataclass(frozen=True)
+class Many:
+    """An estimator that fits all jobs of a table together; called as a plain fit it does one."""
 
+    many: Callable[[DataFrame, list[Job], str, str | None], list[Fitted]]
 
-def _fit_mllib(estimator, strengths, df: DataFrame, features: list[str], label: str) -> Fitted:
-    train = _vectors(df, features).select(
-        _VECTOR, quoted(label).cast("double").alias("__label")
-    )
-    estimator = estimator.setFeaturesCol(_VECTOR).setLabelCol("__label")
-    model = estimator.fit(train)
-    names = [model.getPredictionCol(), model.getRawPredictionCol(), model.getProbabilityCol()]
+    def __call__(self, df: DataFrame, features: list[str], label: str) -> Fitted:
+        return self.many(df, [Job(tuple(features))], label, None)[0]
 
-    def predict(rows: DataFrame) -> DataFrame:
-        return model.transform(_vectors(rows, features)).drop(_VECTOR, *names[1:])
 
-    values = strengths(model)
-    return Fitted(predict, {f: float(values[i]) for i, f in enumerate(features)})
+def fit_many(
+    fit: Fit, df: DataFrame, jobs: list[Job], label: str, fold: str | None = None,
+    parallelism: int = S.N_FOLDS,
+) -> list[Fitted]:
+    """One model per job; a plain fit is called once for each, side by side."""
+    if isinstance(fit, Many):
+        return fit.many(df, jobs, label, fold)
+
+    def one(job: Job) -> Fitted:
+        rows = df if job.held_out is None else df.filter(F.col(fold) != job.held_out)
+        return fit(rows, list(job.features), label)
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        return list(pool.map(one, jobs))
 
 
 def random_forest(
-    trees: int = 100, depth: int = 30, seed: int = S.SEED, max_bins: int = MAX_BINS
+    trees: int = 100, depth: int | None = None, seed: int = S.SEED, max_bins: int = MAX_BINS
 ) -> Fit:
-    """Forest with sqrt feature sampling; 30 is the deepest tree MLlib grows.
+    """Forest with sqrt feature sampling, grown until all leaves are pure unless ``depth`` bounds it.
 
-    ``max_bins`` bounds the cuts tried per feature; at least its distinct values tries them all.
+    ``max_bins`` is the least number of bins for the tops of trees over tables beyond the broadcast bound.
     """
-    def fit(df: DataFrame, features: list[str], label: str) -> Fitted:
-        estimator = RandomForestClassifier(
-            numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed,
-            maxBins=max_bins,
-        )
-        return _fit_mllib(estimator, lambda m: m.featureImportances, df, features, label)
-    return fit
+    def many(df: DataFrame, jobs: list[Job], label: str, fold: str | None) -> list[Fitted]:
+        features = fitting.all_features(jobs)
+        table = fitting.training_table(df, features, label, fold)
+        found = forest.plant(table, features, jobs, trees, seed, depth, bins=max_bins)
+        return [Fitted(forest.predictor(m, features, df.sparkSession), _named(features, m.importances, job))
+                for m, job in zip(found, jobs)]
+    return Many(many)
 
 
 def gradient_boosting(
-    stages: int = 100, depth: int = 3, seed: int = S.SEED, max_bins: int = MAX_BINS
+    stages: int = 100, depth: int = 3, max_bins: int = MAX_BINS, rate: float = 0.1
 ) -> Fit:
-    """Boosted trees for a binary target; ``max_bins`` as in ``random_forest``."""
-    def fit(df: DataFrame, features: list[str], label: str) -> Fitted:
-        estimator = GBTClassifier(
-            maxIter=stages, stepSize=0.1, maxDepth=depth, seed=seed, maxBins=max_bins)
-        return _fit_mllib(estimator, lambda m: m.featureImportances, df, features, label)
-    return fit
+    """Boosted trees of the log loss for a binary target."""
+    def many(df: DataFrame, jobs: list[Job], label: str, fold: str | None) -> list[Fitted]:
+        features = fitting.all_features(jobs)
+        table = fitting.training_table(df, features, label, fold)
+        found = boosting.boost(table, features, jobs, stages, depth, rate, max_bins)
+        return [Fitted(boosting.predictor(m, features, df.sparkSession), _named(features, m.importances, job))
+                for m, job in zip(found, jobs)]
+    return Many(many)
 
 
-def logistic(max_iter: int = 1000, c: float = 1.0) -> Fit:
-    """L2-penalised logistic regression; the penalty is ``1/c`` against the summed loss."""
-    def fit(df: DataFrame, features: list[str], label: str) -> Fitted:
-        estimator = LogisticRegression(
-            regParam=1.0 / (c * df.count()), elasticNetParam=0.0, standardization=False,
-            maxIter=max_iter, tol=1e-10,
-        )
-        strength = lambda m: [abs(v) for v in m.coefficients]
-        return _fit_mllib(estimator, strength, df, features, label)
-    return fit
+def _named(features: list[str], values, job: Job) -> dict[str, float]:
+    return {f: float(v) for f, v in zip(features, values) if f in job.features}
 
 
-def _fit_linear(solver, df: DataFrame, features: list[str], label: str) -> Fitted:
-    weights, intercept = solver(df, features, label)
+def _linear_model(weights, intercept: float, features: list[str]) -> Fitted:
     terms = [F.lit(float(w)) * quoted(f) for w, f in zip(weights, features)]
     score = reduce(lambda a, b: a + b, terms, F.lit(float(intercept)))
 
@@ -120,17 +113,32 @@ def _fit_linear(solver, df: DataFrame, features: list[str], label: str) -> Fitte
     return Fitted(predict, {f: abs(float(w)) for f, w in zip(features, weights)})
 
 
+def logistic(max_iter: int = 1000, c: float = 1.0) -> Fit:
+    """L2-penalised logistic regression; the penalty is ``1/c`` against the summed loss."""
+    def many(df: DataFrame, jobs: list[Job], label: str, fold: str | None) -> list[Fitted]:
+        features = fitting.all_features(jobs)
+        table = fitting.training_table(df, features, label, fold).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            found = linear.newton_logistic(table, features, jobs, c, max_iter)
+        finally:
+            table.unpersist()
+        return [_linear_model(w, b, list(job.features)) for (w, b), job in zip(found, jobs)]
+    return Many(many)
+
+
+def _from_moments(solver) -> Fit:
+    def many(df: DataFrame, jobs: list[Job], label: str, fold: str | None) -> list[Fitted]:
+        moments = linear.FoldMoments(df, fitting.all_features(jobs), label, fold)
+        return [_linear_model(*solver(moments.classes(job)), list(job.features)) for job in jobs]
+    return Many(many)
+
+
 def ridge(alpha: float = 1.0) -> Fit:
-    def fit(df: DataFrame, features: list[str], label: str) -> Fitted:
-        solver = lambda d, f, y: linear.fit_ridge(d, f, y, alpha)
-        return _fit_linear(solver, df, features, label)
-    return fit
+    return _from_moments(lambda classes: linear.ridge_weights(classes, alpha))
 
 
 def discriminant() -> Fit:
-    def fit(df: DataFrame, features: list[str], label: str) -> Fitted:
-        return _fit_linear(linear.fit_discriminant, df, features, label)
-    return fit
+    return _from_moments(linear.discriminant_weights)
 
 
 @dataclass(frozen=True)
@@ -175,6 +183,51 @@ def _best_stump(histogram: dict[tuple[int, int], list[float]], cuts: list[list[f
 def adaptive_boosting(rounds: int = 100, bins: int = MAX_BINS, cut_every: int = 10) -> Fit:
     """Boosted stumps: misses gain weight by ``exp(alpha)`` after every round.
 
+    Tables of checked size are broadcast and all jobs run as tasks; beyond that a job is ``staged_stumps``.
+    """
+    staged = staged_stumps(rounds, bins, cut_every)
+
+    def many(df: DataFrame, jobs: list[Job], label: str, fold: str | None) -> list[Fitted]:
+        features = fitting.all_features(jobs)
+        table = fitting.training_table(df, features, label, fold)
+        rows = fitting.held_locally(table, len(features))
+        if rows is None:
+            return fit_many(staged, df, jobs, label, fold)
+        cuts = [np.array(c) for c in quantile_edges(table.select(
+            *[F.col("x")[i].alias(f"x{i}") for i in range(len(features))]), bins)]
+        found = boosting.stump_rounds(rows, cuts, df.sparkSession, features, jobs, rounds)
+        return [_voting([(w, Stump(f, 0, cut, below, above, 0.0)) for f, cut, below, above, w in m.votes],
+                        features, list(job.features)) for m, job in zip(found, jobs)]
+    return Many(many)
+
+
+def quantile_edges(values: DataFrame, bins: int) -> list[list[float]]:
+    """Approximate quantiles of every column; an edge at the minimum would leave one side empty."""
+    found = values.approxQuantile(values.columns, [i / bins for i in range(1, bins)], 1.0 / (8 * bins))
+    low = values.agg(*[F.min(v) for v in values.columns]).first()
+    return [sorted(set(c) - {low[i]}) for i, c in enumerate(found)]
+
+
+def _voting(stumps: list[tuple[float, Stump]], features: list[str], used: list[str]) -> Fitted:
+    strength = sum(alpha for alpha, _ in stumps)
+    totals = dict.fromkeys(used, 0.0)
+    for alpha, stump in stumps:
+        totals[features[stump.feature]] += alpha / strength
+
+    def predict(table: DataFrame) -> DataFrame:
+        votes = [
+            F.lit(alpha) * stump.vote(quoted(features[stump.feature]).cast("double"))
+            for alpha, stump in stumps
+        ]
+        return table.withColumn(
+            "prediction", (reduce(lambda a, b: a + b, votes) > 0).cast("double"))
+
+    return Fitted(predict, totals)
+
+
+def staged_stumps(rounds: int = 100, bins: int = MAX_BINS, cut_every: int = 10) -> Fit:
+    """Boosted stumps over a table of any size.
+
     Features are binned once. A round is one aggregation of the row weights by (feature, bin,
     label), combined map-side to a few rows per feature; it yields both the best stump and its error.
     Row weights are a column expression, written to the checkpoint folder every ``cut_every`` rounds
@@ -187,11 +240,7 @@ def adaptive_boosting(rounds: int = 100, bins: int = MAX_BINS, cut_every: int =
             quoted(label).cast("double").alias("__y"),
             *[quoted(f).cast("double").alias(v) for f, v in zip(features, values)],
         )
-        shares = [i / bins for i in range(1, bins)]
-        found = rows.approxQuantile(values, shares, 1.0 / (8 * bins))
-        low = rows.agg(*[F.min(v) for v in values]).first()
-        # An edge at the minimum would leave one side empty.
-        cuts = [sorted(set(c) - {low[i]}) for i, c in enumerate(found)]
+        cuts = quantile_edges(rows.select(*values), bins)
         edges = [[float("-inf"), *c, float("inf")] for c in cuts]
         usable = [i for i, c in enumerate(cuts) if c]
         if not usable:
@@ -233,25 +282,12 @@ def adaptive_boosting(rounds: int = 100, bins: int = MAX_BINS, cut_every: int =
                 state = cut_lineage(state)
         if not stumps:
             raise ValueError("no stump is better than chance")
-        strength = sum(alpha for alpha, _ in stumps)
-        totals = dict.fromkeys(features, 0.0)
-        for alpha, stump in stumps:
-            totals[features[stump.feature]] += alpha / strength
-
-        def predict(table: DataFrame) -> DataFrame:
-            votes = [
-                F.lit(alpha) * stump.vote(quoted(features[stump.feature]).cast("double"))
-                for alpha, stump in stumps
-            ]
-            return table.withColumn(
-                "prediction", (reduce(lambda a, b: a + b, votes) > 0).cast("double"))
-
-        return Fitted(predict, totals)
+        return _voting(stumps, features, features)
     return fit
 
 
 def registry(
-    trees: int = 100, depth: int = 30, stages: int = 100, rounds: int = 100, max_bins: int = MAX_BINS
+    trees: int = 100, depth: int | None = None, stages: int = 100, rounds: int = 100, max_bins: int = MAX_BINS
 ) -> dict[str, Fit]:
     """The six models in their fixed order."""
     return {
@@ -293,15 +329,19 @@ def cross_validate(
     n_folds: int = S.N_FOLDS, parallelism: int = S.N_FOLDS, metric: str = "f1_weighted",
 ) -> DataFrame:
     """(fold, score) for a table with a fold column; all folds are scored in one job."""
-    def held_out(k: int) -> DataFrame:
-        fitted = fit(df.filter(F.col(fold) != k), features, label)
-        return fitted.predict(df.filter(F.col(fold) == k)).select(
-            F.col(fold), quoted(label).cast("double").alias("label"), "prediction"
-        )
+    jobs = [Job(tuple(features), k) for k in range(n_folds)]
+    return fold_scores(df, fit_many(fit, df, jobs, label, fold, parallelism), label, fold, metric)
 
-    with ThreadPoolExecutor(parallelism) as pool:
-        parts = list(pool.map(held_out, range(n_folds)))
-    predictions = reduce(DataFrame.unionByName, parts)
+
+def fold_scores(
+    df: DataFrame, fitted: list[Fitted], label: str, fold: str = "fold", metric: str = "f1_weighted"
+) -> DataFrame:
+    """(fold, score): each fold judged by its own model, in one job."""
+    predictions = reduce(DataFrame.unionByName, [
+        model.predict(df.filter(F.col(fold) == k)).select(
+            F.col(fold), quoted(label).cast("double").alias("label"), "prediction")
+        for k, model in enumerate(fitted)
+    ])
     scorer = metrics.weighted_f1 if metric == "f1_weighted" else metrics.accuracy
     return scorer(predictions, by=[fold]).withColumnRenamed(metric, "score")
 
@@ -325,11 +365,10 @@ def evaluate_model(
 
     Selection sees all rows before the folds, so the scores are optimistic, as documented.
     """
-    final = fit(folded, features, label)
-    kept = selected_features(final.importances)
-    if kept != features:
-        final = fit(folded, kept, label)
-    score, deviation = _score(cross_validate(folded, kept, label, fit, parallelism=parallelism))
+    kept = selected_features(fit(folded, features, label).importances)
+    jobs = [Job(tuple(kept)), *[Job(tuple(kept), k) for k in range(S.N_FOLDS)]]
+    final, *held_out = fit_many(fit, folded, jobs, label, "fold", parallelism)
+    score, deviation = _score(fold_scores(folded, held_out, label))
     return Evaluation(score, deviation, final.importances)
 
 
@@ -403,8 +442,10 @@ def select_features(
     base = binary_labels(df, label).select(quoted(key), quoted(label), *[quoted(f) for f in features])
     folded = contiguous_folds(base, label, key).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        first, _ = _score(cross_validate(folded, features, label, fit, parallelism=parallelism))
-        kept = selected_features(fit(folded, features, label).importances)
+        jobs = [Job(tuple(features)), *[Job(tuple(features), k) for k in range(S.N_FOLDS)]]
+        whole, *held_out = fit_many(fit, folded, jobs, label, "fold", parallelism)
+        first, _ = _score(fold_scores(folded, held_out, label))
+        kept = selected_features(whole.importances)
         last = first
         if kept != features:
             last, _ = _score(cross_validate(folded, kept, label, fit, parallelism=parallelism))
@@ -422,20 +463,22 @@ def drop_importances(
     table = binary_labels(df, label).select(quoted(label), *[quoted(f) for f in features]).persist(
         StorageLevel.MEMORY_AND_DISK)
 
-    def score(names: list[str]) -> float:
-        if not names:  # without any feature the best guess is the larger class
-            sizes = table.groupBy(quoted(label)).count()
-            return sizes.agg(F.max("count") / F.sum("count")).first()[0]
-        predicted = fit(table, names, label).predict(table)
-        return metrics.accuracy(predicted, label).first()["accuracy"]
-
+    subsets = [features, *[[f for f in features if f != out] for out in features]]
     try:
-        with ThreadPoolExecutor(parallelism) as pool:
-            subsets = [features, *[[f for f in features if f != out] for out in features]]
-            base, *without = pool.map(score, subsets)
+        jobs = [Job(tuple(names)) for names in subsets if names]
+        fitted = fit_many(fit, table, jobs, label, None, parallelism)
+        judged = reduce(DataFrame.unionByName, [
+            model.predict(table).select(
+                F.lit(i).alias("left_out"), quoted(label).alias(label), "prediction")
+            for i, model in enumerate(fitted)
+        ])
+        scores = {r["left_out"]: r["accuracy"] for r in metrics.accuracy(judged, label, by=["left_out"]).collect()}
+        if len(fitted) < len(subsets):  # without any feature the best guess is the larger class
+            sizes = table.groupBy(quoted(label)).count()
+            scores[len(fitted)] = sizes.agg(F.max("count") / F.sum("count")).first()[0]
     finally:
         table.unpersist()
-    rows = [(f, base - s) for f, s in zip(features, without)]
+    rows = [(f, scores[0] - scores[i]) for i, f in enumerate(features, 1)]
     return df.sparkSession.createDataFrame(rows, "feature string, drop_importance double").orderBy(
         F.desc("drop_importance"), "feature"
     )

@@ -66,8 +66,11 @@ def ordered_rank(
     cuts = df.select(F.col(key).cast("double").alias(key)).approxQuantile(
         key, [i / buckets for i in range(1, buckets)], 1.0 / (4 * buckets)
     )
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
-    bucketed = Bucketizer(splits=splits, inputCol="__key", outputCol=_BUCKET).transform(
-        df.withColumn("__key", F.col(key).cast("double"))
-    )
-    return rank_in_buckets(bucketed.drop("__key"), [group], [F.col(key)], _BUCKET)
+    if cuts:
+        splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
+        bucketed = Bucketizer(splits=splits, inputCol="__key", outputCol=_BUCKET).transform(
+            df.withColumn("__key", F.col(key).cast("double"))
+        ).drop("__key")
+    else:  # no row, or no row with a key
+        bucketed = df.withColumn(_BUCKET, F.lit(0.0))
+    return rank_in_buckets(bucketed, [group], [F.col(key)], _BUCKET)
