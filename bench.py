@@ -22,8 +22,9 @@ HEADLINE = [
     "soil_enrich", "weighted_group_mean", "terrain_stencil", "terrain_enrich", "crop_window",
     "rank_both_datasets", "consensus_rank", "stratified_folds", "contiguous_folds",
     "weighted_f1", "ridge_weights", "discriminant_weights", "model_gradient_boosting",
-    "model_adaptive_boosting", "evaluate_models", "select_features", "drop_importance",
-    "stability_model", "climate_workflow", "complete_analysis", "collect_all",
+    "model_adaptive_boosting", "evaluate_models_closed", "select_features_closed", "drop_importance_closed",
+    "stability_model_closed", "collect_all", "climate_workflow", "select_features", "drop_importance",
+    "model_random_forest", "evaluate_models", "complete_analysis",
 ]
 
 
@@ -47,15 +48,15 @@ def main() -> None:
         start = time.perf_counter()
         registered[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
-        print(f"{name} {times[name]}", file=sys.stderr)
+        # A line after every query: whoever stops the run keeps the figures so far.
+        print(json.dumps({
+            "metric": "headline_queries_total",
+            "value": round(sum(times.values()), 3),
+            "unit": "sec",
+            "queries": times,
+            "sf": os.path.basename(os.path.normpath(sf_dir)).removeprefix("sf"),
+        }), file=sys.stdout if len(times) == len(chosen) else sys.stderr, flush=True)
     spark.stop()
-    print(json.dumps({
-        "metric": "headline_queries_total",
-        "value": round(sum(times.values()), 3),
-        "unit": "sec",
-        "queries": times,
-        "sf": os.path.basename(os.path.normpath(sf_dir)).removeprefix("sf"),
-    }))
 
 
 if __name__ == "__main__":

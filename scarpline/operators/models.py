@@ -8,16 +8,17 @@ sees models, metrics and one number per feature.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 from math import log
 
 import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scarpline import schema as S
@@ -152,9 +153,6 @@ class Stump:
     above: float
     error: float
 
-    def vote(self, value: Column) -> Column:
-        return F.when(value < self.cut, self.below).otherwise(self.above)
-
 
 def _best_stump(histogram: dict[tuple[int, int], list[float]], cuts: list[list[float]]) -> Stump:
     """Split of least weighted Gini impurity; the first feature and cut win ties.
@@ -213,14 +211,20 @@ def _voting(stumps: list[tuple[float, Stump]], features: list[str], used: list[s
     totals = dict.fromkeys(used, 0.0)
     for alpha, stump in stumps:
         totals[features[stump.feature]] += alpha / strength
+    asked = sorted({stump.feature for _, stump in stumps})
+    votes = [(asked.index(s.feature), s.cut, alpha * s.below, alpha * s.above) for alpha, s in stumps]
+
+    @F.pandas_udf("double")
+    def voted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        for values in batches:
+            x = values.to_numpy(dtype=np.float64)
+            score = np.zeros(len(x))
+            for column, cut, below, above in votes:
+                score += np.where(x[:, column] < cut, below, above)
+            yield pd.Series((score > 0).astype(float))
 
     def predict(table: DataFrame) -> DataFrame:
-        votes = [
-            F.lit(alpha) * stump.vote(quoted(features[stump.feature]).cast("double"))
-            for alpha, stump in stumps
-        ]
-        return table.withColumn(
-            "prediction", (reduce(lambda a, b: a + b, votes) > 0).cast("double"))
+        return table.withColumn("prediction", voted(fitting.feature_struct([features[f] for f in asked])))
 
     return Fitted(predict, totals)
 
@@ -383,23 +387,28 @@ def evaluate_all(
     df: DataFrame, features: list[str], label: str = S.TARGET, key: str = S.ROW_ID,
     models: Mapping[str, Fit] | None = None, seed: int | None = S.SEED, parallelism: int = S.N_FOLDS,
 ) -> Evaluations:
-    """All models on one table; a model that fails is reported and left out."""
+    """All models on one table, side by side; a model that fails is reported and left out."""
     spark = df.sparkSession
     base = binary_labels(df, label).select(quoted(key), quoted(label), *[quoted(f) for f in features])
     folded = shuffled_folds(base, label, key, seed=seed).persist(StorageLevel.MEMORY_AND_DISK)
-    scores, tables, status = [], {}, []
+    models = models or registry()
+
+    def evaluated(name: str) -> Evaluation | Exception:
+        try:
+            return evaluate_model(folded, features, label, models[name], parallelism)
+        except Exception as error:  # one failing model must not stop the others
+            return error
+
     try:
-        for name, fit in (models or registry()).items():
-            try:
-                result = evaluate_model(folded, features, label, fit, parallelism)
-            except Exception as error:  # one failing model must not stop the others
-                status.append((name, "failed", str(error)))
-                continue
-            status.append((name, "success", None))
-            scores.append((name, result.cv_score, result.cv_std))
-            tables[name] = result.importances
+        folded.count()
+        with ThreadPoolExecutor(parallelism) as pool:
+            results = dict(zip(models, pool.map(evaluated, models)))
     finally:
         folded.unpersist()
+    found = {name: r for name, r in results.items() if isinstance(r, Evaluation)}
+    status = [(name, "success", None) if name in found else (name, "failed", str(r)) for name, r in results.items()]
+    scores = [(name, r.cv_score, r.cv_std) for name, r in found.items()]
+    tables = {name: r.importances for name, r in found.items()}
     shares = ranking.percent_importances(importance_table(spark, tables))
     return Evaluations(
         spark.createDataFrame(scores, "model string, cv_score double, cv_std double"),
@@ -414,13 +423,15 @@ def basic_importances(
 ) -> dict[str, DataFrame]:
     """``{model}_{dataset}`` importance tables, most important first."""
     models = models or {"gb": gradient_boosting(), "rf": random_forest()}
-    result = {}
-    for model, fit in models.items():
-        for name, (df, features) in datasets.items():
-            fitted = fit(df, features, label)
-            table = importance_table(df.sparkSession, {model: fitted.importances})
-            result[f"{model}_{name}"] = table.orderBy(F.desc("importance"), "feature")
-    return result
+    pairs = [(model, name) for model in models for name in datasets]
+
+    def table(pair: tuple[str, str]) -> DataFrame:
+        model, (df, features) = pair[0], datasets[pair[1]]
+        fitted = models[model](df, features, label)
+        return importance_table(df.sparkSession, {model: fitted.importances}).orderBy(F.desc("importance"), "feature")
+
+    with ThreadPoolExecutor(len(pairs) or 1) as pool:
+        return {f"{model}_{name}": t for (model, name), t in zip(pairs, pool.map(table, pairs))}
 
 
 @dataclass(frozen=True)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
@@ -92,21 +93,24 @@ def run_analysis(
         {"a": (pair.a.data, pair.a.features), "b": (pair.b.data, pair.b.features)}, target,
         {name: registry[name] for name in ("gb", "rf") if name in registry},
     )
-    evaluations = {
-        DATASET_A: evaluate_dataset(pair.a.data, target, key, registry),
-        DATASET_B: evaluate_dataset(pair.b.data, target, key, registry),
-    }
+    parts = {DATASET_A: pair.a, DATASET_B: pair.b}
+    with ThreadPoolExecutor(len(parts)) as pool:
+        evaluations = dict(zip(parts, pool.map(
+            lambda part: evaluate_dataset(part.data, target, key, registry), parts.values())))
     rankings = rank_datasets(evaluations)
     plots = {}
     if with_plots:
-        for name, part in ((DATASET_A, pair.a), (DATASET_B, pair.b)):
+        def plotted(name: str) -> PlotData | None:
             best = ranking.top_features(
                 rankings.filter(F.col("dataset") == name), PLOT_FEATURES[name])
             top = [row["feature"] for row in best.collect()]
             try:
-                plots[name] = plot_data(part.data, part.features, top, target, boosting)
+                return plot_data(parts[name].data, parts[name].features, top, target, boosting)
             except Exception as error:  # plot tables are extras
                 warnings.warn(f"no plot data for {name}: {error}", stacklevel=2)
+
+        with ThreadPoolExecutor(len(parts)) as pool:
+            plots = {name: found for name, found in zip(parts, pool.map(plotted, parts)) if found}
     return Analysis(datasets, pair, basic, evaluations, rankings, plots)
 
 

@@ -3,9 +3,9 @@
 Analogue: orders with their customer are events. An order is stable when its price and its
 customer's balance together stay low; one order in ten has the opposite label.
 
-The jobs that fit many models (evaluation, selection, drop-column importance, stability model) run with
-the two closed-form models plugged in, whose SQL is given below. Single tree models are fitted at their
-full size, and so are those of ``basic_models``, ``climate_workflow`` and ``complete_analysis``.
+The jobs that fit many models (evaluation, selection, drop-column importance, stability model) run twice:
+with the models of the registry at their full size, and as ``*_closed`` with closed-form models plugged
+in, whose SQL is given below. The SQL of ``model_logistic`` takes the same Newton steps.
 """
 
 from __future__ import annotations
@@ -63,19 +63,31 @@ def _broken(df, features, label):
     raise ValueError("this estimator\nalways fails")
 
 
+def model_logistic(spark, sf):
+    return _importances("logistic")(spark, sf).withColumn("importance", F.round("importance", 10))
+
+
 def evaluate_models(spark, sf):
+    """The six models on four features."""
+    result = models.evaluate_all(labelled_orders(spark, sf), FEATURES)
+    return rounded(result.status.join(result.scores, "model", "left"), ["cv_score", "cv_std"])
+
+
+def evaluate_models_closed(spark, sf):
     """Both closed forms and an estimator that fails, plugged in by name."""
     plugged = {**CLOSED, "broken": _broken}
     result = models.evaluate_all(labelled_orders(spark, sf), PAIR, models=plugged)
     return rounded(result.status.join(result.scores, "model", "left"), ["cv_score", "cv_std"])
 
 
-def select_features(spark, sf):
-    chosen = models.select_features(labelled_orders(spark, sf), PAIR, fit=CLOSED["lda"])
-    found = spark.createDataFrame(
-        [(f, chosen.initial_score, chosen.final_score) for f in chosen.features],
-        "feature string, initial_score double, final_score double")
-    return rounded(found, ["initial_score", "final_score"])
+def _selection(features, fit):
+    def run(spark, sf):
+        chosen = models.select_features(labelled_orders(spark, sf), features, fit=fit)
+        found = spark.createDataFrame(
+            [(f, chosen.initial_score, chosen.final_score) for f in chosen.features],
+            "feature string, initial_score double, final_score double")
+        return rounded(found, ["initial_score", "final_score"])
+    return run
 
 
 def orders_with_gaps(spark, sf):
@@ -100,18 +112,22 @@ def basic_models(spark, sf):
     return merged
 
 
-def drop_importance(spark, sf):
-    found = models.drop_importances(labelled_orders(spark, sf), PAIR, fit=CLOSED["lda"])
-    return rounded(found, ["drop_importance"])
+def _drop_importance(features, fit):
+    def run(spark, sf):
+        found = models.drop_importances(labelled_orders(spark, sf), features, fit=fit)
+        return rounded(found, ["drop_importance"])
+    return run
 
 
-def stability_model(spark, sf):
-    rows = labelled_orders(spark, sf)
-    model = models.train_stability_model(rows, PAIR, fit=CLOSED["ridge"])
-    found = model.predict(rows).select(
-        S.ROW_ID, S.TARGET, "predicted", F.lit(model.train_accuracy).alias("train_accuracy"),
-        F.lit(model.test_accuracy).alias("test_accuracy"), F.lit(model.cv_mean).alias("cv_mean"))
-    return rounded(found, ["train_accuracy", "test_accuracy", "cv_mean"])
+def _stability(features, fit):
+    def run(spark, sf):
+        rows = labelled_orders(spark, sf)
+        model = models.train_stability_model(rows, features, fit=fit)
+        found = model.predict(rows).select(
+            S.ROW_ID, S.TARGET, "predicted", F.lit(model.train_accuracy).alias("train_accuracy"),
+            F.lit(model.test_accuracy).alias("test_accuracy"), F.lit(model.cv_mean).alias("cv_mean"))
+        return rounded(found, ["train_accuracy", "test_accuracy", "cv_mean"])
+    return run
 
 
 def climate_workflow(spark, sf):
@@ -143,15 +159,19 @@ def complete_analysis(spark, sf):
 QUERIES = {
     "model_gradient_boosting": _importances("gb"),
     "model_random_forest": _importances("rf"),
-    "model_logistic": _importances("logistic"),
+    "model_logistic": model_logistic,
     "model_ridge": _closed_predictions("ridge"),
     "model_discriminant": _closed_predictions("lda"),
     "model_adaptive_boosting": _predictions("ada"),
     "evaluate_models": evaluate_models,
-    "select_features": select_features,
+    "evaluate_models_closed": evaluate_models_closed,
+    "select_features": _selection(FEATURES, None),
+    "select_features_closed": _selection(PAIR, CLOSED["lda"]),
     "basic_models": basic_models,
-    "drop_importance": drop_importance,
-    "stability_model": stability_model,
+    "drop_importance": _drop_importance(FEATURES, None),
+    "drop_importance_closed": _drop_importance(PAIR, CLOSED["lda"]),
+    "stability_model": _stability(FEATURES, None),
+    "stability_model_closed": _stability(PAIR, CLOSED["ridge"]),
     "climate_workflow": climate_workflow,
     "complete_analysis": complete_analysis,
 }
@@ -212,24 +232,74 @@ def _closed_sql(model: str) -> str:
             f"WHERE model = '{model}' AND kept = 'xy'")
 
 
+def _newton_sql(steps: int = 9) -> str:
+    """Logistic regression on all features: Newton steps in standardised features, each a Gauss elimination."""
+    xs = {"o_totalprice": "o_totalprice", "c_acctbal": "c_acctbal", "c_nationkey": "CAST(c_nationkey AS DOUBLE)",
+          "order_month": "CAST(month(o_orderdate) AS DOUBLE)"}
+    d = len(xs)
+    m = range(d + 1)
+    ctes = [
+        "rows AS MATERIALIZED (SELECT CAST((o_totalprice + 20 * c_acctbal < 330000) <> "
+        "(md5(CAST(o_orderkey AS VARCHAR)) < '1a') AS DOUBLE) AS y, "
+        + ", ".join(f"CAST({x} AS DOUBLE) AS x{i}" for i, x in enumerate(xs.values()))
+        + " FROM orders JOIN customer ON o_custkey = c_custkey)",
+        "stats AS MATERIALIZED (SELECT " + ", ".join(
+            f"avg(x{i}) AS m{i}, stddev_pop(x{i}) AS s{i}" for i in range(d)) + " FROM rows)",
+        "z AS MATERIALIZED (SELECT y, " + ", ".join(f"(x{i} - m{i}) / s{i} AS z{i}" for i in range(d))
+        + f", 1e0 AS z{d} FROM rows CROSS JOIN stats)",
+        "w0 AS MATERIALIZED (SELECT " + ", ".join(f"0e0 AS u{i}" for i in m) + ")",
+    ]
+    for t in range(steps):
+        margin = " + ".join(f"u{i} * z{i}" for i in m)
+        sums = [f"sum((p - y) * z{i}) AS g{i}" for i in m]
+        sums += [f"sum(p * (1 - p) * z{i} * z{j}) AS h{i}{j}" for i in m for j in m if i <= j]
+        first = []  # the system with its penalty
+        for i in m:
+            penalty = f" / (s{i} * s{i})" if i < d else ""
+            first += [f"h{i}{j}{' + 1' + penalty if penalty and i == j else ''} AS a0_{i}{j}" for j in m if i <= j]
+            first.append(f"g{i}{' + u' + str(i) + penalty if penalty else ''} AS b0_{i}")
+        ctes += [
+            f"sums{t} AS MATERIALIZED (SELECT {', '.join(sums)} FROM (SELECT z.*, 1 / (1 + exp(-({margin}))) AS p "
+            f"FROM z CROSS JOIN w{t}))",
+            f"e{t}_0 AS MATERIALIZED (SELECT {', '.join(first)} FROM sums{t} CROSS JOIN w{t} CROSS JOIN stats)",
+        ]
+        for k in range(d):  # one feature leaves the rows below it
+            out = []
+            for i in range(k + 1, d + 1):
+                out += [f"a{k}_{i}{j} - a{k}_{k}{i} * a{k}_{k}{j} / a{k}_{k}{k} AS a{k + 1}_{i}{j}"
+                        for j in range(i, d + 1)]
+                out.append(f"b{k}_{i} - a{k}_{k}{i} * b{k}_{k} / a{k}_{k}{k} AS b{k + 1}_{i}")
+            ctes.append(f"e{t}_{k + 1} AS MATERIALIZED (SELECT *, {', '.join(out)} FROM e{t}_{k})")
+        back = []
+        for i in reversed(m):
+            rest = "".join(f" - a{i}_{i}{j} * d{j}" for j in range(i + 1, d + 1))
+            back.append(f"(b{i}_{i}{rest}) / a{i}_{i}{i} AS d{i}")
+        ctes.append(f"w{t + 1} AS MATERIALIZED (SELECT " + ", ".join(f"u{i} - d{i} AS u{i}" for i in m)
+                    + f" FROM (SELECT {', '.join(back)} FROM e{t}_{d}) CROSS JOIN w{t})")
+    parts = [f"SELECT 'logistic' AS model, '{name}' AS feature, round(abs(u{i} / s{i}), 10) AS importance "
+             f"FROM w{steps} CROSS JOIN stats" for i, name in enumerate(xs)]
+    return f"WITH {', '.join(ctes)} {' UNION ALL '.join(parts)}"
+
+
 ORACLE = {
+    "model_logistic": _newton_sql(),
     "model_ridge": _closed_sql("ridge"),
     "model_discriminant": _closed_sql("lda"),
-    "evaluate_models": f"""WITH {_ORDERS}, {_SHUFFLED}, {_EACH_FOLD}, {_fits('train')}, {_JUDGED}, {_F1}
+    "evaluate_models_closed": f"""WITH {_ORDERS}, {_SHUFFLED}, {_EACH_FOLD}, {_fits('train')}, {_JUDGED}, {_F1}
 SELECT s.model, 'success' AS status, CAST(NULL AS VARCHAR) AS message, round(score, 6) AS cv_score,
        round(deviation, 6) AS cv_std FROM scores s JOIN best b ON s.model = b.model AND s.kept = b.kept
 UNION ALL SELECT 'broken', 'failed', 'this estimator' || chr(10) || 'always fails', NULL, NULL""",
-    "select_features": f"""WITH {_ORDERS}, {_RUNS}, {_EACH_FOLD}, {_fits('train')}, {_JUDGED}, {_F1}
+    "select_features_closed": f"""WITH {_ORDERS}, {_RUNS}, {_EACH_FOLD}, {_fits('train')}, {_JUDGED}, {_F1}
 SELECT unnest({_NAMES}) AS feature, round(a.score, 6) AS initial_score, round(s.score, 6) AS final_score
 FROM scores s JOIN best b ON s.model = b.model AND s.kept = b.kept
 JOIN scores a ON a.model = s.model AND a.kept = 'xy' WHERE s.model = 'lda'""",
-    "drop_importance": f"""WITH {_ORDERS}, train AS (SELECT -1 AS g, * FROM base), {_fits('train')},
+    "drop_importance_closed": f"""WITH {_ORDERS}, train AS (SELECT -1 AS g, * FROM base), {_fits('train')},
 right_share AS (SELECT kept, avg(CASE WHEN {_VOTE} = label THEN 1e0 ELSE 0e0 END) AS share
       FROM base CROSS JOIN fits WHERE model = 'lda' GROUP BY kept)
 SELECT CASE o.kept WHEN 'y' THEN 'o_totalprice' ELSE 'c_acctbal' END AS feature,
        round(a.share - o.share, 6) + 0.0 AS drop_importance
 FROM right_share a JOIN right_share o ON a.kept = 'xy' AND o.kept <> 'xy'""",
-    "stability_model": f"""WITH {_ORDERS}, split AS (SELECT *, percent_rank() OVER (PARTITION BY label
+    "stability_model_closed": f"""WITH {_ORDERS}, split AS (SELECT *, percent_rank() OVER (PARTITION BY label
       ORDER BY {_BY_HASH}) < 0.2 AS is_test FROM base),
 folded AS (SELECT *, ntile(5) OVER (PARTITION BY label ORDER BY {S.ROW_ID}) - 1 AS fold FROM split),
 train AS (SELECT k AS g, f.* FROM folded f CROSS JOIN range(0, 5) r(k) WHERE fold <> k
