@@ -25,25 +25,33 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scarpline.session import cut_lineage
+
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "[#$%&*|]"
 MIN_WORDS = 100
 MIN_DISTINCT_PERCENT = 80
 MAX_UPPER_PERCENT = 10
 MAX_FILTERS = 6  # the table of orders is broadcast: n! * n rows, 4,320 for six filters
-DUPLICATE = "E"
 
 
-def text_failures(text: Column) -> dict[str, Column]:
-    """The filters that look at one text: few words, repeated words, capitals, symbols."""
-    words = F.array_remove(F.split(text, SPACE), "")
-    upper = F.length(text) - F.length(F.regexp_replace(text, "[A-Z]+", ""))
-    return {
-        "A": F.size(words) < MIN_WORDS,
-        "B": 100 * F.size(F.array_distinct(words)) < MIN_DISTINCT_PERCENT * F.size(words),
-        "C": 100 * upper > MAX_UPPER_PERCENT * F.length(text),
-        "D": text.rlike(SYMBOLS),
-    }
+# The filters that look at one text: few words, repeated words, capitals, symbols. They read the measures
+# below, which stand in columns of their own, so that a text is split once.
+TEXT_FAILURES = {
+    "A": f"n_words < {MIN_WORDS}",
+    "B": f"100 * n_distinct < {MIN_DISTINCT_PERCENT} * n_words",
+    "C": f"100 * (n_chars - n_others) > {MAX_UPPER_PERCENT} * n_chars",
+    "D": "symbols",
+}
+
+
+def measured(rows: DataFrame) -> DataFrame:
+    """Adds what the text filters look at to rows with a column ``body``."""
+    worded = rows.withColumn("words", F.array_remove(F.split("body", SPACE), ""))
+    return worded.withColumns({
+        "n_words": F.size("words"), "n_distinct": F.size(F.array_distinct("words")), "n_chars": F.length("body"),
+        "n_others": F.length(F.regexp_replace("body", "[A-Z]+", "")), "symbols": F.col("body").rlike(SYMBOLS),
+    })
 
 
 def _bits(failures: list[Column]) -> Column:
@@ -53,12 +61,13 @@ def _bits(failures: list[Column]) -> Column:
 
 def counted_masks(docs: DataFrame, labels: DataFrame, part: str = "lang") -> DataFrame:
     """(part, mask, n, good, toxic): documents by the filters A to E that they fail."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(
+    rows = measured(docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"),
-        F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"),
-        _bits(list(text_failures(text).values())).alias("mask"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("body"),
+    )).select(
+        "doc_id", "part", F.unhex(F.sha2(F.col("body").cast("binary"), 256)).alias("digest"),
+        _bits([F.expr(f) for f in TEXT_FAILURES.values()]).alias("mask"),
     ).groupBy("doc_id", "part", "digest", "mask").agg(F.count("*").alias("n"))
     marked = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("string").alias("key")).agg(
         F.max(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("good"),
@@ -72,9 +81,10 @@ def counted_masks(docs: DataFrame, labels: DataFrame, part: str = "lang") -> Dat
         .agg(F.sum("n").alias("n"), F.min("doc_id").alias("first"), F.min_by("n", "doc_id").alias("n_first"),
              F.sum(F.when(F.col("doc_id").isNull(), F.col("n")).otherwise(0)).alias("n_no_id"))
     )
+    texts = cut_lineage(texts)  # one row per text, mask and labels; read twice
     firsts = texts.groupBy("digest").agg(F.min("first").alias("smallest"))
     kept = F.col("n_no_id") + F.when(F.col("first") == F.col("smallest"), F.col("n_first")).otherwise(0)
-    duplicate = 1 << len(text_failures(text))
+    duplicate = 1 << len(TEXT_FAILURES)
     split = F.explode(F.array(
         F.struct(F.col("mask").alias("mask"), kept.alias("n")),
         F.struct((F.col("mask") + duplicate).alias("mask"), (F.col("n") - kept).alias("n"))))
