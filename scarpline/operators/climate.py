@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from scarpline import schema as S
 from scarpline.functions import lon360, months_total, shift_year
 from scarpline.operators.columns import quoted
-from scarpline.operators.nearest import Axis, load_axes, with_nearest, with_nearest_date
+from scarpline.operators.nearest import (
+    Axis, Calendars, load_axes, load_calendars, with_nearest, with_nearest_in,
+)
 
 CELL = ["scenario", "lat", "lon"]
 
@@ -71,7 +73,7 @@ def rolling_at_events(
     events: DataFrame, grid: DataFrame, months: int = 12, scenarios: list[str] = S.SCENARIOS,
     lat_col: str = S.LATITUDE, lon_col: str = S.LONGITUDE, history: str = S.HISTORY,
     drop_overlap: bool = True,
-) -> tuple[DataFrame, dict[str, Axis | None]]:
+) -> tuple[DataFrame, dict[str, Axis | Calendars | None]]:
     """Rolling series of the grid cells that some event needs, and the axes of the whole grid.
 
     The cells meet the stitched grid by a semi join ahead of the window, whose partitions are cells, so
@@ -93,14 +95,14 @@ def year_range(series: DataFrame) -> DataFrame:
     )
 
 
-def grid_axes(grid: DataFrame) -> dict[str, Axis | None]:
-    """Latitude, longitude and time axes of a grid or rolling table, read in one pass."""
-    return load_axes(grid, {"lat": F.col("lat"), "lon": F.col("lon"),
-                            "time": F.unix_date(F.col("time"))})
+def grid_axes(grid: DataFrame) -> dict[str, Axis | Calendars | None]:
+    """Latitude and longitude axes of a grid or rolling table, and the calendar of each scenario."""
+    axes = load_axes(grid, {"lat": F.col("lat"), "lon": F.col("lon")})
+    return {**axes, "time": load_calendars(grid, "scenario", F.col("time"))}
 
 
 def with_grid_cell(
-    events: DataFrame, axes: dict[str, Axis | None], lat_col: str = S.LATITUDE,
+    events: DataFrame, axes: dict[str, Axis | Calendars | None], lat_col: str = S.LATITUDE,
     lon_col: str = S.LONGITUDE,
 ) -> DataFrame:
     """Adds ``grid_lat`` and ``grid_lon``, the nearest grid axes (no wrap at 360 degrees)."""
@@ -111,42 +113,47 @@ def with_grid_cell(
 def forecast_at_events(
     events: DataFrame, *, rolling: DataFrame, scenarios: list[str] = S.SCENARIOS,
     lat_col: str = S.LATITUDE, lon_col: str = S.LONGITUDE, date_col: str = S.EVENT_DATE,
-    suffix: str = "_event_precipitation", axes: dict[str, Axis | None] | None = None,
+    suffix: str = "_event_precipitation", axes: dict[str, Axis | Calendars | None] | None = None,
 ) -> DataFrame:
     """Adds ``{scenario}_event_precipitation`` for all scenarios, null where unknown.
 
-    The scenarios share one grid and calendar, so they are pivoted into one row per cell and month
-    and the events are joined once.
+    Every scenario is looked up in its own calendar, so one that ends early gives its last month. The
+    lookups are made for distinct (grid cell, date) keys and pivoted; the events are joined once.
     """
     axes = axes or grid_axes(rolling)
-    wide = rolling.groupBy("lat", "lon", "time").agg(*[
-        F.max(F.when(F.col("scenario") == s, F.col("pr"))).alias(f"{s}{suffix}")
-        for s in scenarios
-    ])
-    wide = wide.withColumnsRenamed({"lat": "grid_lat", "lon": "grid_lon", "time": "grid_time"})
-    placed = with_grid_cell(events, axes, lat_col, lon_col)
-    placed = with_nearest_date(placed, quoted(date_col), axes["time"], "grid_time")
-    known = quoted(lat_col).isNotNull() & quoted(lon_col).isNotNull()
-    placed = placed.withColumn("grid_time", F.when(known, F.col("grid_time")))
-    joined = placed.join(wide, ["grid_lat", "grid_lon", "grid_time"], "left")
-    return joined.select(
+    cell = ["grid_lat", "grid_lon", "__date"]
+    placed = with_grid_cell(events, axes, lat_col, lon_col).withColumn("__date", quoted(date_col).cast("date"))
+    keys = placed.select(*cell).na.drop().distinct()
+    names = F.explode(F.array(*[F.lit(s) for s in scenarios]))
+    dated = with_nearest_in(keys.withColumn("scenario", names), F.col("__date"), axes["time"], "grid_time")
+    wide = dated.join(monthly_values(rolling, scenarios), ["scenario", "grid_lat", "grid_lon", "grid_time"]).groupBy(
+        *cell).agg(*[F.max(F.when(F.col("scenario") == s, F.col("__pr"))).alias(f"{s}{suffix}") for s in scenarios])
+    return placed.join(wide, cell, "left").select(
         *[quoted(c) for c in events.columns], *[f"{s}{suffix}" for s in scenarios]
     )
 
 
+def monthly_values(rolling: DataFrame, scenarios: list[str]) -> DataFrame:
+    """One value per scenario, cell and month: a series that keeps its overlap has two, the larger counts."""
+    return rolling.filter(F.col("scenario").isin(scenarios)).groupBy(
+        "scenario", F.col("lat").alias("grid_lat"), F.col("lon").alias("grid_lon"),
+        F.col("time").alias("grid_time"),
+    ).agg(F.max("pr").alias("__pr"))
+
+
 def expand_scenarios(
     events: DataFrame, *, rolling: DataFrame, years: list[int] = S.FORECAST_YEARS,
     scenarios: list[str] = S.SCENARIOS, lat_col: str = S.LATITUDE, lon_col: str = S.LONGITUDE,
     date_col: str = S.EVENT_DATE, feature_map: dict[str, str] | None = None,
-    axes: dict[str, Axis | None] | None = None,
+    axes: dict[str, Axis | Calendars | None] | None = None,
 ) -> DataFrame:
     """Every event in every year and scenario, with the climate value of that place and date.
 
     Adds ``forecast_year``, ``scenario`` and ``scenario_precipitation``. ``feature_map`` names, per
     scenario, the training column that takes the new value in the rows of that scenario.
 
-    The values are looked up for distinct (grid cell, month, day) keys and packed as one short array
-    per key; the wide event rows are joined once and expanded only afterwards.
+    The values are looked up for distinct (grid cell, month, day) keys, each scenario in its own
+    calendar, and packed as one short array per key; the wide event rows are joined once and expanded only afterwards.
     """
     cell = ["grid_lat", "grid_lon", "__monthday"]
     axes = axes or grid_axes(rolling)
@@ -165,16 +172,12 @@ def expand_scenarios(
     dated = keys.select(*cell, "__day", steps).withColumn(
         "__moved", shift_year(F.col("__day"), F.col("forecast_year"))
     )
-    dated = with_nearest_date(dated, F.col("__moved"), axes["time"], "grid_time")
-    # A series that keeps its overlap has two values in a month; the larger one counts, as in
-    # ``forecast_at_events``.
-    values = rolling.filter(F.col("scenario").isin(scenarios)).groupBy(
-        F.col("lat").alias("grid_lat"), F.col("lon").alias("grid_lon"),
-        F.col("time").alias("grid_time"), "scenario",
-    ).agg(F.max("pr").alias("pr"))
-    packed = dated.join(values, ["grid_lat", "grid_lon", "grid_time"]).groupBy(*cell).agg(
+    names = F.explode(F.array(*[F.lit(s) for s in scenarios]))
+    dated = with_nearest_in(dated.withColumn("scenario", names), F.col("__moved"), axes["time"], "grid_time")
+    packed = dated.join(monthly_values(rolling, scenarios), ["scenario", "grid_lat", "grid_lon", "grid_time"]).groupBy(
+        *cell).agg(
         F.map_from_entries(F.collect_list(F.struct(
-            F.concat_ws("@", "scenario", "forecast_year"), F.col("pr")
+            F.concat_ws("@", "scenario", "forecast_year"), F.col("__pr")
         ))).alias("__found")
     )
     grid = F.explode(F.array(*[

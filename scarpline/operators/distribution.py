@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scarpline import schema as S
 from scarpline.operators.columns import quoted
 from scarpline.session import broadcast_if_small
 
-SKETCH_ACCURACY = 20_000
+FAN_OUT = 1 << 16  # counts per group and prefix in one pass of a selection
 _QUARTILES = [0.25, 0.5, 0.75]
 
 
@@ -22,81 +24,73 @@ def melt(
     return wide.unpivot([quoted(target)], [quoted(f) for f in features], name, value)
 
 
+@F.pandas_udf("long")
+def ordered_bits(values: pd.Series) -> pd.Series:
+    """64 bits of every double as an integer that sorts as the values do; both zeros are one."""
+    bits = (values.to_numpy(dtype=np.float64) + 0.0).view(np.int64)
+    return pd.Series(bits ^ (bits >> 63 & np.int64(0x7FFF_FFFF_FFFF_FFFF)))
+
+
+@F.pandas_udf("double")
+def from_ordered_bits(bits: pd.Series) -> pd.Series:
+    plain = bits.to_numpy(dtype=np.int64)
+    return pd.Series((plain ^ (plain >> 63 & np.int64(0x7FFF_FFFF_FFFF_FFFF))).view(np.float64))
+
+
 def exact_quantiles(
-    df: DataFrame, keys: list[str], value: str, probs: list[float],
-    accuracy: int = SKETCH_ACCURACY,
+    df: DataFrame, keys: list[str], value: str, probs: list[float], fan_out: int = FAN_OUT
 ) -> DataFrame:
     """(keys, n, q0, q1, ...): linearly interpolated quantiles of ``value`` per group, exact.
 
-    Pass 1 builds one mergeable sketch per group and brackets every quantile between two values.
-    Pass 2 counts the rows below each bracket and, by distinct value, the rows inside it; both are
-    combined map-side, so only the bracket's values are shuffled. The wanted elements are then
-    picked by cumulative counts. A bracket that missed its rank would fail the query, not bend it.
+    Radix descent on the ordered bits of the values. The first pass counts the rows of every group by
+    the first bits; running sums show which prefix holds each wanted rank. Each later pass reads only
+    rows with such a prefix and counts them by the next bits, until all 64 are known. Counts are combined
+    map-side, at most ``fan_out`` per group and prefix, so no task sorts or holds the rows of a group,
+    however many agree; all groups and quantiles share a pass. Rows with a null value or a null key
+    belong to no group.
     """
-    margin = 3.0 / accuracy
-    ends = [p for q in probs for p in (max(q - margin, 0.0), min(q + margin, 1.0))]
-    present = df.filter(F.col(value).isNotNull())
-    sketch = present.groupBy(*keys).agg(
-        F.percentile_approx(value, ends, accuracy).alias("__ends"),
-        F.count(F.lit(1)).alias("n"),
-    )
-    brackets = F.transform(
-        F.sequence(F.lit(0), F.lit(len(probs) - 1)),
-        lambda i: F.struct(
-            i.alias("q"),
-            F.element_at("__ends", 2 * i + 1).alias("low"),
-            F.element_at("__ends", 2 * i + 2).alias("high"),
-        ),
-    )
-    sketch = sketch.select(*keys, "n", brackets.alias("__brackets"))
-    if keys:
-        joined = present.join(broadcast_if_small(sketch), keys)
-    else:
-        joined = present.withColumn("__one", F.lit(1)).join(
-            F.broadcast(sketch.withColumn("__one", F.lit(1))), "__one"
-        )
-    v = F.col(value)
-    placed = joined.select(
-        *keys, "n", v.alias("__v"), F.explode("__brackets").alias("__b")
-    )
-    v = F.col("__v")
-    band = F.when(v < F.col("__b.low"), 0).when(v > F.col("__b.high"), 2).otherwise(1)
-    counted = placed.groupBy(
-        *keys, "n", F.col("__b.q").alias("q"), band.alias("band"),
-        F.when(band == 1, v).alias("inside"),
-    ).agg(F.count(F.lit(1)).alias("c"), F.min("__v").alias("first"), F.max("__v").alias("last"))
-    # Below the bracket only its last element can be wanted, above it only the first one.
-    group = Window.partitionBy(*keys, "q").orderBy("band", "inside")
-    runs = counted.select(
-        *keys, "n", "q", "band",
-        F.when(F.col("band") == 0, F.col("last")).otherwise(F.col("first")).alias("__v"),
-        F.sum("c").over(group).alias("upto"),
-        F.col("c"),
-    )
-    share = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("q") + 1)
-    index = (F.col("n") - 1) * share
-    lower = F.floor(index)
-
-    def element(rank):
-        holds = (F.col("upto") > rank) & (F.col("upto") - F.col("c") <= rank)
-        known = (
-            (F.col("band") == 1)
-            | ((F.col("band") == 0) & (rank == F.col("upto") - 1))
-            | ((F.col("band") == 2) & (rank == F.col("upto") - F.col("c")))
-        )
-        checked = F.when(known, F.col("__v")).otherwise(
-            F.raise_error(F.lit("quantile bracket missed its rank; raise the accuracy"))
-            .cast("double")
-        )
-        return F.max(F.when(holds, checked))
+    group = [quoted(k) for k in keys]
+    rows = df.na.drop(subset=[value, *keys]).select(*group, ordered_bits(F.col(value).cast("double")).alias("__o"))
 
-    picked = runs.groupBy(*keys, "q", "n").agg(
-        element(lower).alias("a"),
-        element(F.least(lower + 1, F.col("n") - 1)).alias("b"),
-    )
-    exact = F.col("a") + (F.col("b") - F.col("a")) * (index - lower)
-    columns = [F.max(F.when(F.col("q") == i, exact)).alias(f"q{i}") for i in range(len(probs))]
-    return picked.groupBy(*keys, "n").agg(*columns)
+    def index(q: float) -> Column:
+        return (F.col("n") - 1) * F.lit(float(q))
+
+    wanted = F.array(*[
+        F.struct(F.lit(i).alias("q"), F.lit(upper).alias("upper"),
+                 F.least(F.floor(index(q)) + upper, F.col("n") - 1).alias("rank"))
+        for i, q in enumerate(probs) for upper in (0, 1)
+    ])
+
+    def descended(counts: DataFrame, within: list[str], ranks: Column) -> DataFrame:
+        """The ranks (q, upper, rank) of every prefix, each below the child prefix that holds it."""
+        before = F.col("__upto") - F.col("__c")
+        held = F.filter(ranks, lambda r: (r["rank"] >= before) & (r["rank"] < F.col("__upto")))
+        running = Window.partitionBy(*within).orderBy("__child")
+        placed = counts.withColumn("__upto", F.sum("__c").over(running)).select(
+            *keys, "n", F.col("__child").alias("__p"),
+            F.transform(held, lambda r: r.withField("rank", r["rank"] - before)).alias("ranks"))
+        return placed.where(F.size("ranks") > 0)
+
+    digit = max(fan_out.bit_length() - 1, 1)
+    shift = 64 - digit
+    counts = rows.groupBy(*group, F.shiftright("__o", shift).alias("__child")).agg(F.count(F.lit(1)).alias("__c"))
+    counts = counts.withColumn("n", F.sum("__c").over(Window.partitionBy(*group)))
+    found = descended(counts, keys, wanted)
+    while shift:
+        prefixes = broadcast_if_small(found)
+        last, shift = shift, max(shift - digit, 0)
+        inside = rows.withColumn("__p", F.shiftright("__o", last)).join(
+            prefixes.select(*group, "__p"), [*keys, "__p"], "left_semi")
+        counts = inside.groupBy(*group, "__p", F.shiftright("__o", shift).alias("__child")).agg(
+            F.count(F.lit(1)).alias("__c"))
+        found = descended(counts.join(prefixes, [*keys, "__p"]), [*keys, "__p"], F.col("ranks"))
+    picked = found.select(*group, "n", from_ordered_bits("__p").alias("__v"), F.explode("ranks").alias("r")).groupBy(
+        *group, "n").agg(*[
+            F.max(F.when((F.col("r.q") == i) & (F.col("r.upper") == upper), F.col("__v"))).alias(f"__{i}_{upper}")
+            for i in range(len(probs)) for upper in (0, 1)])
+    return picked.select(*group, "n", *[
+        (F.col(f"__{i}_0") + (F.col(f"__{i}_1") - F.col(f"__{i}_0")) * (index(q) - F.floor(index(q)))).alias(f"q{i}")
+        for i, q in enumerate(probs)])
 
 
 def class_medians(

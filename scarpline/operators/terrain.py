@@ -108,10 +108,12 @@ def locate_pixels(
 ) -> DataFrame:
     """Adds ``tile_id``, ``px`` and ``py``; null outside all tiles.
 
-    Tiles are filed under cells as large as the largest tile and packed as one short array per cell,
-    so each point is joined once and keeps one row. Pixel indexes truncate toward zero, which counts
-    a point up to one pixel before the first row or column as inside; a tile that truly contains the
-    point goes first, then the smallest ``tile_id``.
+    A tile is filed at the grid level of its own size, whose cells are its longer side rounded up to a
+    power of two, so it lies in at most four cells and a wide tile costs small ones nothing. A distinct
+    place probes one cell of every level in use and takes the least candidate; points are joined to
+    places once and keep their rows. Pixel indexes truncate toward zero, which counts a point up to one
+    pixel before the first row or column as inside; a tile that truly contains the point goes first,
+    then the smallest ``tile_id``.
     """
     extents = tiles.select(
         "tile_id", "minx", "xres", "maxy", "yres", "width", "height",
@@ -120,34 +122,35 @@ def locate_pixels(
         (F.col("maxy") + F.col("height") * F.col("yres")).alias("south"),
         (F.col("maxy") - F.col("yres")).alias("north"),
     )
-    sizes = extents.agg(
-        F.max(F.greatest(F.col("east") - F.col("west"), F.col("north") - F.col("south")))
-    ).first()
-    size = F.lit(sizes[0] or 1.0)
+    side = F.greatest(F.col("east") - F.col("west"), F.col("north") - F.col("south"), F.lit(1e-9))
+    levelled = extents.withColumn("__level", F.ceil(F.log2(side)).cast("int"))
+    # Levels are exponents of two: some dozens, whatever the number of tiles.
+    levels = [row[0] for row in levelled.select("__level").distinct().na.drop().collect()]
 
     def cell(value: Column) -> Column:
-        return F.floor(value / size)
+        return F.floor(value / F.pow(F.lit(2.0), F.col("__level")))
 
-    tile = F.struct("tile_id", "minx", "xres", "maxy", "yres", "width", "height")
     filed = (
-        extents.withColumn("__cx", F.explode(F.sequence(cell(F.col("west")), cell(F.col("east")))))
+        levelled.withColumn("__cx", F.explode(F.sequence(cell(F.col("west")), cell(F.col("east")))))
         .withColumn("__cy", F.explode(F.sequence(cell(F.col("south")), cell(F.col("north")))))
-        .groupBy("__cx", "__cy").agg(F.collect_list(tile).alias("__tiles"))
+        .select("__level", "__cx", "__cy", "tile_id", "minx", "xres", "maxy", "yres", "width", "height")
     )
-    lat, lon = quoted(lat_col), quoted(lon_col)
-    placed = points.withColumns({"__cx": cell(lon), "__cy": cell(lat)})
-    joined = placed.join(broadcast_if_small(filed), ["__cx", "__cy"], "left")
-
-    def pixel(t: Column) -> Column:
-        px, py = pixel_index(lat, lon, t["minx"], t["xres"], t["maxy"], t["yres"])
-        before = (lon < t["minx"]) | (lat > t["maxy"])
-        inside = (px >= 0) & (px < t["width"]) & (py >= 0) & (py < t["height"])
-        return F.when(inside, F.struct(
-            before.alias("before"), t["tile_id"].alias("tile_id"), px.alias("px"), py.alias("py")
-        ))
-
-    best = F.array_min(F.transform("__tiles", pixel))
-    return joined.withColumn("__best", best).select(
+    lat, lon = F.col("__lat"), F.col("__lon")
+    located = points.withColumns({"__lat": quoted(lat_col), "__lon": quoted(lon_col)})
+    probes = (
+        located.select("__lat", "__lon").na.drop().distinct()
+        .withColumn("__level", F.explode(F.lit(levels).cast("array<int>")))
+        .withColumns({"__cx": cell(lon), "__cy": cell(lat)})
+    )
+    px, py = pixel_index(lat, lon, F.col("minx"), F.col("xres"), F.col("maxy"), F.col("yres"))
+    before = (lon < F.col("minx")) | (lat > F.col("maxy"))
+    inside = (px >= 0) & (px < F.col("width")) & (py >= 0) & (py < F.col("height"))
+    best = (
+        probes.join(broadcast_if_small(filed), ["__level", "__cx", "__cy"]).where(inside)
+        .groupBy("__lat", "__lon")
+        .agg(F.min(F.struct(before.alias("before"), "tile_id", px.alias("px"), py.alias("py"))).alias("__best"))
+    )
+    return located.join(best, ["__lat", "__lon"], "left").select(
         *[quoted(c) for c in points.columns], "__best.tile_id", "__best.px", "__best.py"
     )
 

@@ -122,6 +122,24 @@ def climate_enrich(spark, sf):
     return rounded(found, list(FEATURES.values()), 3)
 
 
+def _early_end(spark, sf):
+    """The grid with one scenario that ends two years before the others."""
+    return grid(spark, sf).where("scenario != 'ssp126' or time < DATE'1996-09-01'")
+
+
+def climate_enrich_early_end(spark, sf):
+    rolled, axes = climate.rolling_at_events(events(spark, sf), _early_end(spark, sf), MONTHS)
+    late = events(spark, sf).withColumn("event_date", F.add_months("event_date", 30))
+    found = climate.forecast_at_events(late, rolling=rolled, axes=axes)
+    return rounded(found, list(FEATURES.values()), 3)
+
+
+def scenario_expand_early_end(spark, sf):
+    rolled, axes = climate.rolling_at_events(events(spark, sf), _early_end(spark, sf), MONTHS)
+    expanded = climate.expand_scenarios(events(spark, sf), rolling=rolled, years=YEARS, axes=axes)
+    return rounded(expanded, ["scenario_precipitation"], 3)
+
+
 def scenario_expand(spark, sf):
     rolled, axes = climate.rolling_at_events(events(spark, sf), grid(spark, sf), MONTHS)
     enriched = climate.forecast_at_events(events(spark, sf), rolling=rolled, axes=axes)
@@ -216,6 +234,8 @@ QUERIES = {
     "nearest_amount": nearest_amount,
     "asof_nearest": asof_nearest,
     "climate_enrich": climate_enrich,
+    "climate_enrich_early_end": climate_enrich_early_end,
+    "scenario_expand_early_end": scenario_expand_early_end,
     "shift_year": shift_year,
     "parse_date": parsed_dates,
     "scenario_expand": scenario_expand,
@@ -279,6 +299,18 @@ found AS (SELECT e.c_custkey, e.event_date, e."Latitude", e."Longitude", grid_la
       LEFT JOIN grid_time USING (c_custkey)
       LEFT JOIN rolled r ON r.lat = grid_lat AND r.lon = grid_lon AND r.time = grid_time
       GROUP BY ALL)"""
+# One scenario ends early, and every scenario is looked up in its own months.
+_EARLY = _GRID.replace("FROM named)", "FROM named WHERE scenario <> 'ssp126' OR month < DATE '1996-09-01')")
+_EARLY_ROLLED = f"{_EARLY}, {_stitch_sql(True)}, {_roll_sql(MONTHS)}"
+
+
+def _own_months(days: str) -> str:
+    """near (day, scenario, month): the nearest month of that scenario, the later one on ties."""
+    return f"""near AS (SELECT day, scenario, month FROM (SELECT day, scenario, month, row_number() OVER (
+      PARTITION BY day, scenario ORDER BY abs(day - month), month DESC) AS rn FROM ({days})
+      CROSS JOIN (SELECT DISTINCT scenario, time AS month FROM rolled)) WHERE rn = 1)"""
+
+
 _SCENARIO_LIST = ", ".join(f"'{s}'" for s in S.SCENARIOS)
 _MOVED = f"""moved AS (SELECT f.*, y AS forecast_year, s AS scenario,
       CAST(event_date + to_years(CAST(y - year(event_date) AS INTEGER)) AS DATE) AS moved_date
@@ -340,6 +372,24 @@ ORACLE = {
         LEFT JOIN near USING (c_custkey)""",
     "climate_enrich": f"WITH {_ROLLED}, {_EVENTS}, {_CELLS}, {_AT_EVENTS} SELECT c_custkey, "
                       f"event_date, \"Latitude\", \"Longitude\", {_SHOWN} FROM found",
+    "climate_enrich_early_end": f"""WITH {_EARLY_ROLLED}, {_EVENTS}, late AS (SELECT c_custkey,
+        CAST(event_date + INTERVAL 30 MONTH AS DATE) AS event_date, "Latitude", "Longitude" FROM events_at),
+        {_CELLS}, {_own_months("SELECT DISTINCT event_date AS day FROM late WHERE event_date IS NOT NULL")}
+        SELECT c_custkey, event_date, "Latitude", "Longitude", """ + ", ".join(
+        f"round(max(pr) FILTER (WHERE r.scenario = '{s}'), 3) AS {c}" for s, c in FEATURES.items()) + """
+        FROM late LEFT JOIN grid_lat USING (c_custkey) LEFT JOIN grid_lon USING (c_custkey)
+        LEFT JOIN near ON day = event_date LEFT JOIN rolled r ON r.scenario = near.scenario
+        AND r.lat = grid_lat AND r.lon = grid_lon AND r.time = month GROUP BY ALL""",
+    "scenario_expand_early_end": f"""WITH {_EARLY_ROLLED}, {_EVENTS}, {_CELLS}, moved AS (SELECT e.*,
+        y AS forecast_year, s AS scenario, CAST(event_date + to_years(CAST(y - year(event_date) AS INTEGER))
+        AS DATE) AS moved_date FROM events_at e CROSS JOIN (SELECT unnest({YEARS}) AS y)
+        CROSS JOIN (SELECT unnest([{_SCENARIO_LIST}]) AS s)),
+        {_own_months("SELECT DISTINCT moved_date AS day FROM moved WHERE moved_date IS NOT NULL")}
+        SELECT c_custkey, moved_date AS event_date, "Latitude", "Longitude", forecast_year, m.scenario,
+        round(pr, 3) AS scenario_precipitation FROM moved m LEFT JOIN grid_lat USING (c_custkey)
+        LEFT JOIN grid_lon USING (c_custkey) LEFT JOIN near n ON day = moved_date AND n.scenario = m.scenario
+        LEFT JOIN rolled r ON r.scenario = m.scenario AND r.lat = grid_lat AND r.lon = grid_lon
+        AND r.time = n.month""",
     "shift_year": "SELECT o_orderkey, " + ", ".join(
         f"CAST(o_orderdate + to_years(CAST({y} - year(o_orderdate) AS INTEGER)) AS DATE) AS in_{y}"
         for y in (1999, 2000, 2025, 2100))

@@ -48,10 +48,6 @@ def importances(spark, sf):
     return ranking.rank_importances(ranking.percent_importances(selected, BY), BY)
 
 
-def _one(df):
-    return df.filter(F.col("dataset") == "optimal").drop("dataset")
-
-
 def select_from_importance(spark, sf):
     return rounded(ranking.select_by_mean(raw_importances(spark, sf), BY), ["importance"], 2)
 
@@ -75,8 +71,17 @@ def dense_rank_matrix(spark, sf):
     return ranking.dense_ranks(importances(spark, sf), BY)
 
 
+def _whole(spark, sf):
+    """Importances and scores of the models over the lines of both datasets together."""
+    def together(table):
+        return table.withColumn("model", F.concat_ws(":", "dataset", "model")).drop("dataset")
+
+    return together(importances(spark, sf)), together(scores(spark, sf))
+
+
 def weighted_mean_rank(spark, sf):
-    ranks = ranking.weighted_mean_rank(_one(importances(spark, sf)), _one(scores(spark, sf)))
+    """All lines as one dataset."""
+    ranks = ranking.weighted_mean_rank(*_whole(spark, sf))
     return rounded(ranks, ["weighted_mean_rank"])
 
 
@@ -86,7 +91,7 @@ def rank_both_datasets(spark, sf):
 
 
 def consensus_rank(spark, sf):
-    ranks = ranking.consensus_rank(_one(importances(spark, sf)), _one(scores(spark, sf)))
+    ranks = ranking.consensus_rank(importances(spark, sf), scores(spark, sf), by=BY)
     return rounded(ranks, ["agg_rank", "consensus_score", "selection_freq"])
 
 
@@ -183,14 +188,20 @@ ORACLE = {
     "model_weights": f"WITH {_LINES} SELECT dataset, model, round(cv_score, 6) AS cv_score, "
                      "round(linear, 6) AS linear, round(soft, 6) AS soft FROM weights",
     "dense_rank_matrix": f"WITH {_LINES} SELECT dataset, feature, model, rank, seen FROM cells",
-    "weighted_mean_rank": f"WITH {_LINES} SELECT feature, round(weighted_mean_rank, 6) AS "
-                          "weighted_mean_rank, final_rank FROM final WHERE dataset = 'optimal'",
+    "weighted_mean_rank": f"""WITH {_LINES}, every AS (SELECT f.feature,
+        CAST(coalesce(r.rank, l.length + 1) AS DOUBLE) AS rank, s.cv_score
+        FROM (SELECT DISTINCT feature FROM ranked) f CROSS JOIN lengths l
+        JOIN scores s ON s.dataset = l.dataset AND s.model = l.model
+        LEFT JOIN ranked r ON r.dataset = l.dataset AND r.feature = f.feature AND r.model = l.model),
+        means_of_all AS (SELECT feature, sum(cv_score * rank) / sum(cv_score) AS mean FROM every GROUP BY 1)
+        SELECT feature, round(mean, 6) AS weighted_mean_rank, CAST(row_number() OVER (
+        ORDER BY round(mean, 9), feature) AS INTEGER) AS final_rank FROM means_of_all""",
     "rank_both_datasets": f"WITH {_LINES} SELECT dataset, feature, round(weighted_mean_rank, 6) AS "
                           "weighted_mean_rank, final_rank FROM final",
-    "consensus_rank": f"WITH {_LINES} SELECT feature, round(agg_rank, 6) AS agg_rank, round(1 - "
-                      "(agg_rank - min(agg_rank) OVER ()) / (max(agg_rank) OVER () - "
-                      "min(agg_rank) OVER ()), 6) AS consensus_score, round(selection_freq, 6) AS "
-                      "selection_freq FROM consensus WHERE dataset = 'optimal'",
+    "consensus_rank": f"WITH {_LINES} SELECT dataset, feature, round(agg_rank, 6) AS agg_rank, round(1 - "
+                      "(agg_rank - min(agg_rank) OVER w) / (max(agg_rank) OVER w - "
+                      "min(agg_rank) OVER w), 6) AS consensus_score, round(selection_freq, 6) AS "
+                      "selection_freq FROM consensus WINDOW w AS (PARTITION BY dataset)",
     "rank_summary": f"""WITH {_LINES} SELECT dataset, count(*) AS features_ranked,
         min_by(feature, final_rank) AS best_feature,
         round(min_by(weighted_mean_rank, final_rank), 6) AS best_rank,
