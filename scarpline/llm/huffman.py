@@ -3,8 +3,8 @@
 1. Every text is tokenized; ids are staged in the shared folder and counted.
 2. The counts, at most one row per vocabulary entry, give code lengths by package-merge, at most
    ``LIMIT`` bits; canonical codes follow from the lengths alone.
-3. Coded documents are range-partitioned and sorted by id; each task strings them together into
-   blocks. A block decodes by itself: it has its documents' ids and lengths, and a bit length every
+3. Staged documents are range-partitioned and sorted by id; each task codes them, one block after
+   another. A block decodes by itself: it has its documents' ids and lengths, and a bit length every
    ``STEP`` symbols. From these checkpoints, all stretches of a block are decoded side by side, one
    table look-up per symbol of each stretch.
 
@@ -16,7 +16,9 @@ files, parts in ascending doc_id order, and a folder ``codebook`` of (token_id,
     u16 bits of every stretch | code bits, first bit highest, zero-padded to 8 bytes
 
 A null text is empty and still has its end id. Null ids come first; rows that repeat an id are
-documents of their own, side by side. An empty table gives empty folders.
+documents of their own, side by side, in the order of a checksum of their token ids, so that reruns agree.
+Rows that agree in both are dealt by their row number, so no range holds all of them. A long document is a
+block of its own, of its own size. An empty table gives empty folders.
 """
 
 from __future__ import annotations
@@ -38,6 +40,7 @@ LIMIT = 18  # longest code
 STEP = 128  # symbols between bit-offset checkpoints
 BLOCK_TOKENS = 1 << 18
 _HEAD = struct.Struct("<4sIIQ")
+_STAGED = "doc_id long, check long, row long, ids binary"
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -153,15 +156,19 @@ def read_block(payload: bytes, table: tuple[np.ndarray, np.ndarray, int]) -> tup
 
 
 def _tokenized(docs: DataFrame, tokenizer: str, end_id: int, kind: str) -> DataFrame:
+    """(doc_id, check, row, ids): what orders the documents, and the token ids as bytes."""
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = encoder(tokenizer, end_id)
+        ids_of, seen = encoder(tokenizer, end_id), 0
         for batch in batches:
             doc_ids, texts = zip(*rows(batch), strict=True) if batch.num_rows else ((), ())
             ids = [found.astype(kind).tobytes() for _, found in ids_of.batch(list(texts))]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc_ids, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+                [pa.array(doc_ids, pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()),
+                 pa.array(range(seen, seen + len(ids)), pa.int64()), pa.array(ids, pa.binary())],
+                ["doc_id", "check", "row", "ids"])
+            seen += len(ids)
 
-    return id_and_text(docs).mapInArrow(encode, "doc_id long, ids binary")
+    return id_and_text(docs).mapInArrow(encode, _STAGED)
 
 
 def _counts(staged: DataFrame, kind: str, size: int) -> np.ndarray:
@@ -191,7 +198,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int, block_t
     size = max(vocabulary_size(tokenizer), end_id + 1)
     kind = "<u2" if size <= 1 << 16 else "<u4"
     _tokenized(docs, tokenizer, end_id, kind).write.option("compression", "zstd").parquet(f"{folder}/staged")
-    staged = spark.read.schema("doc_id long, ids binary").parquet(f"{folder}/staged")
+    staged = spark.read.schema(_STAGED).parquet(f"{folder}/staged")
     lengths = code_lengths(_counts(staged, kind, size))
     codes = canonical_codes(lengths)
     met = np.flatnonzero(lengths)
@@ -199,21 +206,8 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int, block_t
         pa.table({"token_id": pa.array(met, pa.int64()), "bits": pa.array(lengths[met].astype(np.int64))})
     ).write.parquet(f"{folder}/codebook")
 
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Documents travel to their place in coded form, about half of their ids' size."""
-        for batch in batches:
-            data, sizes = [], []
-            for ids in batch.column("ids").to_pylist():
-                ids = np.frombuffer(ids, kind)
-                data.append(pack_bits(ids, codes, lengths)[0])
-                sizes.append(len(ids))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(data, pa.binary())],
-                ["doc_id", "n", "data"])
-
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, first = TaskContext.get().partitionId(), 0
-        table = decode_table(lengths)
         held, tokens = [], 0
 
         def block() -> pa.RecordBatch:
@@ -222,58 +216,23 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int, block_t
                 ["part", "first_token", "n_tokens", "payload"])
 
         for batch in batches:
-            waiting = [], []  # consecutive documents, decoded together
-            for doc_id, n, data in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                waiting[0].append((doc_id, n))
-                waiting[1].append(data)
-            for (doc_id, n), ids in zip(waiting[0], _unpacked([n for _, n in waiting[0]], waiting[1], table), strict=True):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
+                ids = np.frombuffer(ids.as_buffer(), kind)
                 held.append((doc_id, ids))
-                tokens += n
+                tokens += len(ids)
                 if tokens >= block_tokens:
                     yield block()
                     first, held, tokens = first + tokens, [], 0
         if held:
             yield block()
 
-    ordered = staged.mapInArrow(coded, "doc_id long, n long, data binary").repartitionByRange("doc_id")
-    ordered.sortWithinPartitions("doc_id").mapInArrow(
+    # The bounds are sampled from the staged table, so nothing is computed twice for them.
+    order = ["doc_id", "check", "row"]
+    staged.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids").mapInArrow(
         blocks, "part long, first_token long, n_tokens long, payload binary"
     ).write.option("compression", "none").parquet(f"{folder}/blocks")
 
 
-def _unpacked(sizes: list[int], data: list[bytes], table: tuple[np.ndarray, np.ndarray, int]) -> Iterator[np.ndarray]:
-    """Ids of documents that were coded one by one: one lane each, decoded side by side."""
-    symbols, bits, width = table
-    begin = 0
-    while begin < len(sizes):
-        # Lanes of similar length, in order of appearance: at most 8 MB of bits at once.
-        end, held = begin, 0
-        while end < len(sizes) and (end == begin or held + len(data[end]) < 1 << 20):
-            held += len(data[end])
-            end += 1
-        n = np.array(sizes[begin:end])
-        joined = np.frombuffer(b"".join(data[begin:end]) + bytes(8), dtype=np.uint8).astype(np.uint32)
-        ahead = joined[:-3] << 24 | joined[1:-2] << 16 | joined[2:-1] << 8 | joined[3:]
-        place = np.cumsum([0, *map(len, data[begin:end])][:-1], dtype=np.int64) * 8
-        order = np.argsort(-n, kind="stable")
-        out = [np.empty(x, dtype=np.int32) for x in n]
-        matrix = np.empty((int(n.max(initial=0)), len(n)), dtype=np.int32)
-        lanes, place = len(n), place[order]
-        sorted_n = n[order]
-        shift, mask = 32 - width, np.uint32((1 << width) - 1)
-        for step in range(len(matrix)):
-            while lanes and sorted_n[lanes - 1] <= step:
-                lanes -= 1
-            at = place[:lanes]
-            value = ahead[at >> 3] >> (shift - (at & 7)).astype(np.uint32) & mask
-            matrix[step, :lanes] = symbols[value]
-            at += bits[value]
-        for lane, i in enumerate(order):
-            out[i] = matrix[:n[i], lane].copy()
-        yield from out
-        begin = end
-
-
 def read_ids(spark, folder: str) -> DataFrame:
     """Per document of the written folder: doc_id, start, n_tokens, ids_crc32."""
     book = spark.read.parquet(f"{folder}/codebook").collect()  # at most one row per vocabulary entry
