@@ -95,6 +95,13 @@ def year_range(series: DataFrame) -> DataFrame:
     )
 
 
+def calendar_years(calendars: Calendars) -> DataFrame:
+    """First and last year of every scenario's calendar."""
+    return calendars.ends.select(
+        "scenario", F.year(F.date_from_unix_date("__first")).alias("first_year"),
+        F.year(F.date_from_unix_date("__last")).alias("last_year"))
+
+
 def grid_axes(grid: DataFrame) -> dict[str, Axis | Calendars | None]:
     """Latitude and longitude axes of a grid or rolling table, and the calendar of each scenario."""
     axes = load_axes(grid, {"lat": F.col("lat"), "lon": F.col("lon")})

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scarpline import schema as S
 from scarpline.operators.columns import quoted
@@ -24,14 +25,14 @@ def melt(
     return wide.unpivot([quoted(target)], [quoted(f) for f in features], name, value)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def ordered_bits(values: pd.Series) -> pd.Series:
     """64 bits of every double as an integer that sorts as the values do; both zeros are one."""
     bits = (values.to_numpy(dtype=np.float64) + 0.0).view(np.int64)
     return pd.Series(bits ^ (bits >> 63 & np.int64(0x7FFF_FFFF_FFFF_FFFF)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def from_ordered_bits(bits: pd.Series) -> pd.Series:
     plain = bits.to_numpy(dtype=np.int64)
     return pd.Series((plain ^ (plain >> 63 & np.int64(0x7FFF_FFFF_FFFF_FFFF))).view(np.float64))

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from scarpline import schema as S
 from scarpline.operators import climate, soil, terrain, weather
 from scarpline.operators.columns import column_groups, quoted, with_prefix
 from scarpline.operators.profile import validation_report
 from scarpline.session import cut_lineage
-from scarpline.sources import read_events, save_collected
+from scarpline.sources import read_events, save_collected, write_table
 
 Collector = Callable[..., DataFrame]
 
@@ -82,39 +86,104 @@ def enrich_climate(
     )
 
 
+def collect_forecast_table(
+    events: DataFrame, grid: DataFrame, variable: str = "pr", output_dir: str | None = None,
+    months: int = 12, columns: Columns = Columns(), scenarios: list[str] = S.SCENARIOS,
+) -> DataFrame:
+    """Events with the rolling value of a named grid variable, ``{scenario}_event_{variable}``.
+
+    With ``output_dir`` the table is saved as ``weather_forecast_data``. A variable the grid lacks raises.
+    """
+    if variable not in grid.columns:
+        raise ValueError(f"the climate grid has no variable {variable}")
+    named = grid.withColumn("pr", quoted(variable).cast("double"))
+    rolling, axes = climate.rolling_at_events(events, named, months, scenarios, columns.lat, columns.lon)
+    found = climate.forecast_at_events(
+        events, rolling=rolling, axes=axes, scenarios=scenarios, lat_col=columns.lat, lon_col=columns.lon,
+        date_col=columns.date, suffix=f"_event_{variable}")
+    if output_dir is not None:
+        write_table(found, f"{output_dir}/weather_forecast_data")
+    return found
+
+
 @dataclass(frozen=True)
 class Collected:
     data: DataFrame
     status: DataFrame
 
 
+MANIFEST = "module string, fingerprint string, path string, n_rows long, schema string"
+
+
+def content_fingerprint(df: DataFrame) -> str:
+    """Hash of schema and rows, whatever their order or layout; one scan."""
+    row = F.xxhash64(*[quoted(c) for c in df.columns]).cast("decimal(38,0)")
+    found = df.agg(F.count(F.lit(1)).alias("n"), F.sum(row).alias("s"), F.sum(row * F.lit(31) % F.lit(1_000_003)).alias("m")).first()
+    return hashlib.sha256(f"{df.schema.json()}|{found['n']}|{found['s']}|{found['m']}".encode()).hexdigest()
+
+
+def _committed(spark: SparkSession, folder: str) -> Row | None:
+    """The manifest row of a stage, or None if it never finished."""
+    try:
+        return spark.read.schema(MANIFEST).parquet(folder).first()
+    except AnalysisException:
+        return None
+
+
+def _staged(
+    events: DataFrame, collector: Collector, name: str, stage_dir: str, fingerprint: str
+) -> tuple[DataFrame, bool]:
+    """The module's result below the shared stage folder, and whether an earlier run left it there.
+
+    Data are written first, the manifest row after them: a run that was killed in between leaves no row,
+    so its stage is written again.
+    """
+    spark = events.sparkSession
+    path, manifest = f"{stage_dir}/{name}/{fingerprint[:32]}", f"{stage_dir}/manifest/{name}-{fingerprint[:32]}"
+    row = _committed(spark, manifest)
+    if row is not None:
+        schema = StructType.fromJson(json.loads(row["schema"]))
+        return spark.read.schema(schema).parquet(path), True
+    result = collector(events)
+    result.write.mode("overwrite").parquet(path)
+    written = spark.read.schema(result.schema).parquet(path)
+    spark.createDataFrame(
+        [(name, fingerprint, path, written.count(), result.schema.json())], MANIFEST
+    ).coalesce(1).write.mode("overwrite").parquet(manifest)
+    return written, False
+
+
 def collect_all(
     events: DataFrame, collectors: dict[str, Collector], modules: list[str] | None = None,
-    stage_dir: str | None = None,
+    stage_dir: str | None = None, versions: dict[str, str] | None = None,
 ) -> Collected:
     """Runs the chosen modules in order; one that fails, also at run time, leaves the table as it was.
 
     Each module's result is written and read back, so a success has really been computed and the plan
-    stays short: below ``stage_dir`` (a folder all executors reach), or as a checkpoint.
+    stays short: below ``stage_dir`` (a folder all executors reach), or as a checkpoint. Stages are named
+    by a fingerprint of the events, of the modules that went before, and of the module's entry in
+    ``versions``, which should change with its sources and options. A run with the same fingerprints
+    takes the committed stages of an earlier one and starts after the last.
     """
     chosen = [ALIASES.get(m, m) for m in (modules or MODULES)]
-    status = []
+    status, fingerprint = [], content_fingerprint(events) if stage_dir is not None else ""
     for name in MODULES:
         if name not in chosen or name not in collectors:
             continue
+        message = None
         try:
-            result = collectors[name](events)
             if stage_dir is not None:
-                path = f"{stage_dir}/{name}"
-                result.write.mode("overwrite").parquet(path)
-                result = events.sparkSession.read.schema(result.schema).parquet(path)
+                version = (versions or {}).get(name, "")
+                following = hashlib.sha256(f"{fingerprint}|{name}|{version}".encode()).hexdigest()
+                result, resumed = _staged(events, collectors[name], name, stage_dir, following)
+                fingerprint, message = following, "resumed" if resumed else None
             else:
-                result = cut_lineage(result)
+                result = cut_lineage(collectors[name](events))
         except Exception as error:  # isolation: the other modules still run
             status.append((name, "failed", str(error)))
             continue
         events = result
-        status.append((name, "success", None))
+        status.append((name, "success", message))
     table = events.sparkSession.createDataFrame(
         status, "module string, status string, message string")
     return Collected(events, table)

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["profile", "weather", "climate", "soil", "terrain", "ranking", "scoring", "models", "jobs"]
+MODULES = [
+    "profile", "weather", "rainfall", "climate", "soil", "terrain", "ranking", "scoring", "models", "jobs", "workflow",
+]
 
 
 def _merged(attribute: str) -> dict:
