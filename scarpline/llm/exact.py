@@ -104,6 +104,9 @@ def chunk_fingerprints(chunks: DataFrame) -> DataFrame:
     )
 
 
+TURN = 1 << 16  # copies of a repeated row in one array
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, prints, sizes, digests = [], [], [], []
@@ -138,10 +141,11 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _compared(text_rows: DataFrame, members: DataFrame) -> DataFrame:
     """Candidate groups whose texts are not all the same: (fingerprint, n_bytes)."""
     key = ["fingerprint", "n_bytes"]
-    wanted = members.groupBy("doc_id").agg(F.collect_set(F.struct(*key)).alias("keys"))
-    texts = text_rows.join(wanted, text_rows.doc_id.eqNullSafe(wanted.doc_id)).drop(wanted.doc_id)
-    # A repeated id may name several texts; only the key of its own length is compared.
-    own = texts.select("doc_id", "text", F.explode("keys").alias("k")).select("doc_id", "text", "k.*")
+    # A text meets the key of its own row hash alone, whatever rows share its id or have none.
+    marked = text_rows.withColumn("row_hash", F.xxhash64("text"))
+    wanted = members.select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__hash"), *key).distinct()
+    own = marked.join(wanted, marked.doc_id.eqNullSafe(F.col("__id")) & (
+        F.col("row_hash").eqNullSafe(F.col("__hash")))).select("doc_id", "text", *key)
     chunks = own.mapInArrow(_chunks, "fingerprint long, n_bytes long, chunk_no long, bytes binary")
     spans = chunks.groupBy(*key, "chunk_no").agg(F.min("bytes").alias("low"), F.max("bytes").alias("high"))
     return spans.where("low <> high").select(*key).distinct()
@@ -158,7 +162,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     found = cut_lineage(prints.groupBy(*key, "sha", "doc_id", "row_hash").agg(F.count(F.lit(1)).alias("times")))
     groups = found.groupBy(*key).agg(F.sum("times").alias("size"))
     shared = cut_lineage(groups.where("size > 1").select(*key))
-    members = found.join(shared, key, "left_semi").select("doc_id", *key).where("n_bytes > 0")
+    members = found.join(shared, key, "left_semi").select("doc_id", "row_hash", *key).where("n_bytes > 0")
     mixed = _compared(text_rows, members).withColumn("__mixed", F.lit(True))
     keyed = found.join(mixed, key, "left").withColumn(
         "__part", F.when(F.col("__mixed"), F.col("sha")).otherwise(F.lit(b""))).drop("__mixed")
@@ -176,7 +180,10 @@ def exact_groups(docs: DataFrame) -> DataFrame:
         "group_size": F.coalesce("group_size", F.lit(1).cast("long")),
         "first_hash": F.coalesce("first_hash", "row_hash"),
     })
-    each = joined.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    # Rows that were counted come back one by one, in bounded arrays.
+    turns = joined.withColumn("__turn", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(times - 1) div {TURN}"))))
+    each = turns.withColumn("__i", F.explode(F.sequence(
+        F.col("__turn") * TURN + 1, F.least(F.col("times"), (F.col("__turn") + 1) * TURN))))
     first = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("row_hash") == F.col("first_hash"))
     return each.select(
         "doc_id", "keep_id", "group_size", (first & (F.col("__i") == 1)).alias("kept"),

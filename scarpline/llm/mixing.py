@@ -3,16 +3,17 @@
 Targets: the sources share the sum of all sizes by weight; no target exceeds ``MAX_REPEATS`` times
 its source's size, and what a source cannot take is shared by weight among the others.
 
-Quotas: the mix is cut into blocks of ``BLOCK`` words. Sainte-Laguë gives block after block to the
-highest quotient target / (2 seats + 1). The same seats follow without a loop: rounding at a slightly
-too large divisor gives almost all of them, and only the few next quotients compete for the rest. A
-source is dealt over shards of about ``SHARD_WORDS`` words, and its quota is apportioned to them the
-same way, so no task sees more than a shard of the largest source.
-
-Selection: the documents of a shard, in seeded order, are one stream of words in blocks. A quota is
-some whole rounds through the stream and a rest; the rest falls on the blocks that a seeded affine
-permutation of the block numbers puts first. Both are arithmetic on a document's place in the stream:
-no row per block is made.
+Quotas: Sainte-Laguë gives the mix, in equal blocks of one word, block after block to the highest
+quotient target / (2 seats + 1), so a source of a few words gets its share like any other. The same seats
+follow without a loop: rounding at a slightly too large divisor gives almost all of them, and only the few
+next quotients compete for the rest. A source is dealt over shards of about ``SHARD_WORDS`` words or
+``SHARD_ROWS`` rows, and its quota is apportioned to them the same way, so no task sees more than a shard
+of the largest source.
+
+Selection: the documents of a shard, in seeded order, are one stream of words in runs of ``BLOCK``. A quota
+is some whole rounds through the stream and a rest; the rest falls on the runs that a seeded affine
+permutation of their numbers puts first, on the last of them in part. Both are arithmetic on a document's
+place in the stream: no row per run is made.
 
 Size is the number of ``[^\\x20\\x09-\\x0D]+`` in the text; null text counts 0 words. The null source
 is a source of its own. Empty documents take 0 words; an empty table gives an empty result. Rows that
@@ -26,11 +27,12 @@ from pyspark.sql import functions as F
 
 from scarpline.session import cut_lineage
 
-WORD = r"[^\x20\x09-\x0D]+"
+WORD, GAP = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]*"
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
 BLOCK = 64
-SHARD_WORDS = 1 << 22
+SHARD_WORDS = 1 << 21
+SHARD_ROWS = 1 << 13
 SEED = 20261
 # Strides of the block permutation; a prime stride visits every block unless it divides their number.
 STRIDES = (1000003, 998244353)
@@ -105,12 +107,12 @@ def _stride(blocks: Column) -> Column:
     return F.when(F.pmod(blocks, F.lit(first)) != 0, F.lit(first)).otherwise(F.lit(second)).cast("long")
 
 
-def mix(docs: DataFrame, seed: int = SEED, block: int = BLOCK, shard_words: int = SHARD_WORDS) -> DataFrame:
+def mix(docs: DataFrame, seed: int = SEED, block: int = BLOCK, shard_words: int = SHARD_WORDS,
+        shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target, taken, and how the taken words lie.
 
-    ``rounds`` whole copies, then the words of the blocks b in ``first_block .. last_block`` (of the
-    shard's stream, in which the document starts at word ``begin``) for which
-    ``(b * stride + shift) mod blocks < rest``.
+    ``rounds`` whole copies, then :func:`chosen_words` of each run ``first_block .. last_block`` of the
+    shard's stream, in which the document starts at word ``begin``.
     """
     text = F.col("text").cast("string")
     sized = cut_lineage(docs.select(
@@ -119,15 +121,19 @@ def mix(docs: DataFrame, seed: int = SEED, block: int = BLOCK, shard_words: int
         F.xxhash64(F.lit(seed), "doc_id", text).alias("place"),
     ))
     # One row per source; shards of a source follow its size.
-    sources = _targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
-    total = F.sum("source_size").over(Window.partitionBy())
-    seated = sources.withColumn("seats", F.floor(total / F.lit(block) + 0.5).cast("long")).withColumn(
-        "most", F.ceil(F.col("target") / block).cast("long")).withColumn("__all", F.lit(0))
+    counted = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
+    sources = _targets(counted).join(
+        counted.select(F.col("source").alias("__source"), "n_rows"), F.col("source").eqNullSafe(F.col("__source"))
+    ).drop("__source")
+    seated = sources.withColumns({
+        "seats": F.sum("source_size").over(Window.partitionBy()), "most": F.col("source_size") * MAX_REPEATS,
+        "__all": F.lit(0)})
     given = apportion(
         seated.select("source", "__all", "target", "seats", "most"), "target", "seats", "most", ["__all"])
+    shards = F.greatest(F.floor(F.col("source_size") / F.lit(shard_words)), F.floor(F.col("n_rows") / F.lit(shard_rows)))
     plan = cut_lineage(given.select(F.col("source").alias("__source"), F.col("quota").alias("seats")).join(
         sources, F.col("__source").eqNullSafe(F.col("source"))).drop("__source").withColumn(
-        "shards", (F.floor(F.col("source_size") / F.lit(shard_words)) + 1).cast("long")))
+        "shards", (shards + 1).cast("long")).drop("n_rows"))
 
     facts = plan.select(*[F.col(c).alias(f"__{c}") for c in plan.columns])
     dealt = sized.join(facts, sized.source.eqNullSafe(F.col("__source"))).select(
@@ -136,18 +142,17 @@ def mix(docs: DataFrame, seed: int = SEED, block: int = BLOCK, shard_words: int
         F.pmod(F.col("place"), F.col("__shards")).alias("shard"))
     shards = dealt.groupBy("source", "shard").agg(
         F.sum("size").alias("words"), F.first("seats").alias("seats"))
-    blocks = F.ceil(F.col("words") / F.lit(block)).cast("long")
     quotas = apportion(
-        shards.withColumn("claim", F.col("words").cast("double")).withColumn("most", blocks * MAX_REPEATS)
+        shards.withColumn("claim", F.col("words").cast("double")).withColumn("most", F.col("words") * MAX_REPEATS)
         .select("source", "shard", "claim", "seats", "most"), "claim", "seats", "most", ["source"])
     chosen = quotas.select(
         F.col("source").alias("__source"), F.col("shard").alias("__shard"), "quota",
-        (F.col("most") / MAX_REPEATS).cast("long").alias("blocks")
+        F.col("claim").cast("long").alias("words"), F.ceil(F.col("claim") / F.lit(block)).cast("long").alias("blocks"),
     ).withColumns({
-        "rounds": F.when(F.col("blocks") > 0, F.floor(F.col("quota") / F.col("blocks"))).otherwise(0).cast("long"),
+        "rounds": F.when(F.col("words") > 0, F.expr("quota div words")).otherwise(0).cast("long"),
         "stride": _stride(F.col("blocks")),
         "shift": F.pmod(F.xxhash64(F.lit(seed), "__source", "__shard"), F.greatest("blocks", F.lit(1))),
-    }).withColumn("rest", F.col("quota") - F.col("rounds") * F.col("blocks")).drop("quota")
+    }).withColumn("rest", F.col("quota") - F.col("rounds") * F.col("words")).drop("quota")
 
     stream = Window.partitionBy("source", "shard").orderBy("place", "doc_id")
     placed = dealt.withColumn("begin", F.sum("size").over(stream) - F.col("size")).drop("seats")
@@ -159,32 +164,43 @@ def mix(docs: DataFrame, seed: int = SEED, block: int = BLOCK, shard_words: int
     })
     covered = F.aggregate(
         F.sequence("first_block", "last_block"), F.lit(0).cast("long"),
-        lambda sum_, b: sum_ + F.when(
-            is_chosen(b), F.least(F.col("begin") + F.col("size"), (b + 1) * block)
-            - F.greatest(F.col("begin"), b * block)).otherwise(0))
+        lambda sum_, b: sum_ + F.greatest(
+            F.least(F.col("begin") + F.col("size"), b * block + chosen_words(b, block, F.col))
+            - F.greatest(F.col("begin"), b * block), F.lit(0)))
     taken = F.col("rounds") * F.col("size") + F.when(
         (F.col("rest") > 0) & (F.col("size") > 0), covered).otherwise(0)
     return joined.withColumn("taken", taken.cast("long"))
 
 
-def is_chosen(block: Column) -> Column:
-    """Whether the permutation puts this block of the shard among the first ``rest``."""
-    return F.pmod(block * F.col("stride") + F.col("shift"), F.col("blocks")) < F.col("rest")
+def chosen_words(run: Column, block: int, of) -> Column:
+    """How many words at the head of this run of the shard are in the rest.
+
+    The permutation's order is a row of runs of ``block`` words, all whole but the stream's last one;
+    ``of`` gives the columns words, blocks, stride, shift and rest by name.
+    """
+    def place(number: Column) -> Column:
+        return F.pmod(number * of("stride") + of("shift"), of("blocks"))
+
+    gap = of("blocks") * block - of("words")  # what the stream's last run lacks
+    before = place(run) * block - F.when(place(run) > place(of("blocks") - 1), gap).otherwise(0)
+    size = F.least(F.lit(block), of("words") - run * block)
+    return F.least(F.greatest(of("rest") - before, F.lit(0)), size)
 
 
 def mixed_documents(docs: DataFrame, seed: int = SEED, block: int = BLOCK,
-                    shard_words: int = SHARD_WORDS) -> DataFrame:
+                    shard_words: int = SHARD_WORDS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """The mix itself, with the columns of ``docs``: whole copies of a document, then its chosen words.
 
-    Words of a partial copy are joined by one space; documents that take nothing leave.
+    Chosen words of a partial copy keep the white space behind them, as in the text; documents that take
+    nothing leave.
     """
-    decided = mix(docs, seed, block, shard_words).where("taken > 0")
+    decided = mix(docs, seed, block, shard_words, shard_rows).where("taken > 0")
     key = ["__id", "__place"]
     none = F.lit(-(1 << 63))
     # Rows that repeat id and text share a key; each gets one of the key's decisions.
     facts = decided.select(
         F.coalesce("doc_id", none).alias("__id"), F.col("place").alias("__place"), F.struct(
-            "size", "taken", "begin", "rounds", "rest", "stride", "shift", "blocks").alias("__mix")
+            "size", "taken", "begin", "rounds", "rest", "stride", "shift", "blocks", "words").alias("__mix")
     ).groupBy(*key).agg(F.sort_array(F.collect_list("__mix")).alias("__mixes"))
     text = F.col("text").cast("string")
     doc_id = F.col("doc_id").cast("long")
@@ -195,15 +211,17 @@ def mixed_documents(docs: DataFrame, seed: int = SEED, block: int = BLOCK,
     m = F.col("__mix")
 
     def inside(_: Column, i: Column) -> Column:
-        number = F.floor((m["begin"] + i) / F.lit(block)).cast("long")
-        return F.pmod(number * m["stride"] + m["shift"], m["blocks"]) < m["rest"]
+        at = m["begin"] + i
+        run = F.floor(at / F.lit(block)).cast("long")
+        return at - run * block < chosen_words(run, block, lambda name: m[name])
 
     whole = F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(m["rounds"], F.lit(1).cast("long"))),
                         lambda _: text)
     copies = F.when(m["rounds"] > 0, whole).otherwise(F.array().cast("array<string>"))
     part = F.when(
         m["taken"] > m["rounds"] * m["size"],
-        F.array(F.array_join(F.filter(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), inside), " "))
+        F.array(F.regexp_replace(F.array_join(F.filter(
+            F.regexp_extract_all(text, F.lit(WORD + GAP), F.lit(0)), inside), ""), GAP + "$", ""))
     ).otherwise(F.array().cast("array<string>"))
     given = one.withColumn("text", F.explode(F.concat(copies, part)))
     return given.select(*docs.columns)
