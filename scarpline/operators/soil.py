@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +13,10 @@ from scarpline.operators.columns import NUMERIC_TYPES, quoted
 
 POINT = ["latitude", "longitude"]
 OPTIONAL_CLASSES = ["runoff", "erocl"]
-_NULL_SALTS = 256
+NULL_SALTS = 256
+SALTS = 64
+HOT_ROWS = 100_000  # rows that make a key a frequent one
+MOST_HOT = 1000
 
 # ---- fixed values: survey column behind each output column (others keep their name) -------
 SURVEY_COLUMNS = {
@@ -36,19 +41,55 @@ def _renamed(table: DataFrame, names: dict[str, str]) -> DataFrame:
                           if old in table.columns])
 
 
-def _outer(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str) -> DataFrame:
-    """Equi join; in a full outer chain, rows whose key is still null are spread over salts.
+def hot_keys(tables: dict[str, tuple[DataFrame, str]], at_least: int | None = None) -> dict[str, list]:
+    """Per table the values of its key that at least so many rows hold; one pass over all keys.
+
+    Counts are combined map-side, and the ``MOST_HOT`` most frequent keys are kept, so the answer is short.
+    """
+    at_least = HOT_ROWS if at_least is None else at_least
+    pairs = [
+        df.select(F.lit(name).alias("t"), F.col(key).cast("string").alias("k"))
+        for name, (df, key) in tables.items()
+    ]
+    counts = reduce(DataFrame.unionAll, pairs).na.drop().groupBy("t", "k").count()
+    found: dict[str, list] = {name: [] for name in tables}
+    for row in counts.where(F.col("count") >= at_least).orderBy(F.desc("count")).limit(MOST_HOT).collect():
+        found[row["t"]].append(row["k"])
+    return found
+
+
+def _outer(
+    left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str,
+    hot_left: list | None = None, hot_right: list | None = None,
+) -> DataFrame:
+    """Full or left equi join whose frequent keys are spread over ``SALTS`` tasks.
 
-    Such rows match nothing but would all hash to one task, which AQE cannot split in a full join.
+    Neither join can be split by AQE on its preserved side. Rows with a null key match nothing and are
+    spread by their hash. Rows of a frequent key are spread on the side where it is frequent, and the
+    other side's rows of that key are copied to every salt. A frequent key has rows on its own side, so
+    a copy that met none only met an empty salt, and is dropped. A key that is frequent on both sides is
+    spread on the right.
     """
-    on = F.col(left_key) == F.col(right_key)
-    if how != "full":
-        return left.join(right, on, how)
-    spread = F.pmod(F.xxhash64(*left.columns), F.lit(_NULL_SALTS))
-    salted = left.withColumn("__salt", F.when(F.col(left_key).isNull(), spread).otherwise(-1))
-    plain = right.withColumn("__unsalted", F.lit(-1).cast("long"))
-    return salted.join(plain, on & (F.col("__salt") == F.col("__unsalted")), how).drop(
-        "__salt", "__unsalted")
+    hot_right = hot_right or []
+    hot_left = [k for k in hot_left or [] if k not in hot_right]
+    if how == "left" and not hot_right:
+        return left.join(right, F.col(left_key) == F.col(right_key), how)
+
+    def salted(df: DataFrame, key: str, spread: list, copied: list, side: str) -> DataFrame:
+        text, number = F.col(key).cast("string"), F.xxhash64(*[quoted(c) for c in df.columns])
+        own = F.when(F.col(key).isNull(), F.pmod(number, F.lit(NULL_SALTS)) + SALTS).when(
+            text.isin(spread), F.pmod(number, F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
+        copy = F.coalesce(text.isin(copied), F.lit(False))
+        marked = df.withColumns({f"__{side}": F.lit(True), f"__{side}_copy": copy})
+        salts = F.when(copy, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(own))
+        return marked.withColumn(f"__{side}_salt", F.explode(salts) if copied else own)
+
+    one = salted(left, left_key, hot_left, hot_right, "l")
+    two = salted(right, right_key, hot_right, hot_left, "r")
+    joined = one.join(two, (F.col(left_key) == F.col(right_key)) & (F.col("__l_salt") == F.col("__r_salt")), how)
+    alone = (F.col("__l").isNull() & F.col("__r_copy")) | (F.col("__r").isNull() & F.col("__l_copy"))
+    kept = joined.where(~F.coalesce(alone, F.lit(False))) if hot_left or hot_right else joined
+    return kept.drop(*[f"__{side}{part}" for side in "lr" for part in ("", "_copy", "_salt")])
 
 
 def _left_to_many(
@@ -93,18 +134,18 @@ def _linked(
     else:
         areas = _outer(legend, catalog, "lg_area", "sc_area", how)
         units = _outer(mapunit, areas, "mu_lkey", "lg_lkey", how)
-    chain = _outer(units, component, "mukey", "co_mukey", how)
-    for table, left_key, right_key in [
-        (month, "cokey", "cm_link"), (moisture, "cm_key", "csm_key"),
+    steps = [
+        (component, "mukey", "co_mukey"), (month, "cokey", "cm_link"), (moisture, "cm_key", "csm_key"),
         (horizon, "cokey", "ch_cokey"), (texture_group, "chkey", "ctg_chkey"),
         (texture, "ctg_key", "ct_key"), (material, "cokey", "pmg_cokey"),
         (restriction, "cokey", "rt_cokey"),
-    ]:
-        if table is horizon and how == "left":
-            on = F.col(left_key) == F.col(right_key)
-            chain = _left_to_many(chain, table, on, table.select(right_key).distinct())
-        else:
-            chain = _outer(chain, table, left_key, right_key, how)
+    ]
+    hot = hot_keys({right_key: (table, right_key) for table, _, right_key in steps})
+    chain, seen = units, {}
+    for table, left_key, right_key in steps:
+        # Rows that a frequent key brought into the chain make it frequent on the left from then on.
+        chain = _outer(chain, table, left_key, right_key, how, seen.get(left_key), hot[right_key])
+        seen[left_key] = list(dict.fromkeys([*seen.get(left_key, []), *hot[right_key]]))
     return chain
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scarpline.operators import climate, distribution, folds, nearest, terrain
+from scarpline.operators import climate, distribution, folds, nearest, soil, terrain
 from scarpline.plans import collection
 
 
@@ -136,3 +136,41 @@ def test_forecast_table_refuses_an_unknown_variable(spark):
     grid = spark.createDataFrame([], "scenario string, time date, lat double, lon double, pr double, units string")
     with pytest.raises(ValueError, match="no variable"):
         collection.collect_forecast_table(grid, grid, "wind")
+
+
+@pytest.mark.parametrize("how", ["full", "left"])
+def test_joins_with_frequent_keys_equal_plain_joins(spark, how):
+    generator = random.Random(6)
+    left = [(i, generator.choice(["hot", "hot", "both", None, f"k{i % 40}"])) for i in range(900)] + [(5000, "lone")]
+    right = [(generator.choice(["both", "wide", "wide", None, f"k{i % 60}"]), i) for i in range(700)] + [("hot", -1), ("hot", -2)]
+    one = spark.createDataFrame(left, "a int, lk string")
+    two = spark.createDataFrame(right, "rk string, b int")
+    hot = soil.hot_keys({"l": (one, "lk"), "r": (two, "rk")}, at_least=100)
+    assert {k: sorted(v) for k, v in hot.items()} == {"l": ["both", "hot"], "r": ["both", "wide"]}
+    order = lambda df: sorted(map(str, df.collect()))
+    plain = order(one.join(two, F.col("lk") == F.col("rk"), how))
+    assert order(soil._outer(one, two, "lk", "rk", how, hot["l"], hot["r"])) == plain
+    assert order(soil._outer(one, two, "lk", "rk", how)) == plain
+
+
+def test_one_component_in_half_of_all_rows_is_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(soil, "HOT_ROWS", 1000)
+    n = 20_000
+    components = spark.range(2000).select(F.concat(F.lit("c"), "id").alias("cokey"), F.col("id").alias("v"))
+    horizons = spark.range(n).select(
+        F.when(F.col("id") % 2 == 0, "c7").otherwise(F.concat(F.lit("c"), F.col("id") % 2000)).alias("ch_cokey"),
+        F.col("id").alias("h"))
+    hot = soil.hot_keys({"h": (horizons, "ch_cokey")})["h"]
+    settings = {"spark.sql.shuffle.partitions": "200", "spark.sql.adaptive.enabled": "false",
+                "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        joined = soil._outer(components, horizons, "cokey", "ch_cokey", "full", [], hot)
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert hot == ["c7"] and sum(sizes) == n + 1000
+    assert max(sizes) < 0.05 * sum(sizes)
