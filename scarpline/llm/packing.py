@@ -5,10 +5,10 @@ document of s tokens goes to the fill level h (0: a new window) for which the su
 counts grows least; full windows leave. A document longer than a window is cut into whole windows
 first, and its rest is placed.
 
-Windows still open at the end, or once there are too many to hold, are folded: their pieces are laid
-end to end and cut at window ends. What remains at the end of a task is cut into sequences whose
-lengths are powers of two, which need no padding. So no sequence is padded at all; documents are cut
-only when longer than a window or in a fold.
+Every token stays in the window that the rule chose. A window still open at the end is cut, as it stands,
+into sequences whose lengths are powers of two, which need no padding; so are the fuller two thirds of the open
+windows once there are more than ``MAX_OPEN`` to hold. So no sequence is padded at all; documents are cut
+only when longer than a window or at a power of two.
 
 Every id lies in exactly one piece. Null and empty texts still have their end id. Ids may repeat or be
 null; each row is a document. Sequence ids are unique, not consecutive: task number and counter.
@@ -84,36 +84,26 @@ class Packer:
         self.level[filled] += 2
         self.open += 1
         if self.open > self.max_open:
-            rest = self._fold()
-            if rest:
-                size = sum(len(p[2]) for p in rest)
-                self.stacks[size].append(rest)
-                self.level[size] += 2
-                self.open = 1
-
-    def _fold(self) -> list[Piece]:
-        """Closes all open windows but for one that may stay part filled."""
-        current: list[Piece] = []
-        room = self.window
-        for filled in sorted(self.stacks, reverse=True):
-            for pieces in self.stacks[filled]:
-                for doc_id, start, ids, total in pieces:
-                    while len(ids):
-                        part = ids[:room]
-                        current.append((doc_id, start, part, total))
-                        start, ids, room = start + len(part), ids[len(part):], room - len(part)
-                        if not room:
-                            self._close(current)
-                            current, room = [], self.window
-        self.stacks.clear()
-        self.level[:self.window] = 0
-        self.open = 0
-        return current
-
-    def finish(self) -> None:
-        """Closes everything; the last window becomes sequences of power-of-two lengths."""
-        rest = self._fold()
-        left = sum(len(p[2]) for p in rest)
+            self._close_fullest(2 * self.max_open // 3, but=pieces)
+
+    def _close_fullest(self, count: int, but: list[Piece] | None = None) -> None:
+        """Closes that many open windows as they stand, the fullest first."""
+        for filled in sorted((h for h, stack in self.stacks.items() if stack), reverse=True):
+            stack = self.stacks[filled]
+            while count and stack and not (len(stack) == 1 and stack[0] is but):
+                pieces = stack.pop(0)
+                if pieces is but:  # the newest window stays
+                    stack.append(pieces)
+                    continue
+                self.level[filled] -= 2
+                self.open -= 1
+                count -= 1
+                self._close_in_powers(pieces)
+
+    def _close_in_powers(self, pieces: list[Piece]) -> None:
+        """One open window as sequences of power-of-two lengths, the longest first."""
+        left = sum(len(p[2]) for p in pieces)
+        rest = list(pieces)
         while left:
             room = 1 << (left.bit_length() - 1)
             left -= room
@@ -129,6 +119,10 @@ class Packer:
                     rest.pop(0)
             self._close(current)
 
+    def finish(self) -> None:
+        """Closes all open windows."""
+        self._close_fullest(self.open)
+
     def _close(self, pieces: list[Piece]) -> None:
         offset = 0
         for doc_id, start, ids, total in pieces:
