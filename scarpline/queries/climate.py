@@ -292,36 +292,36 @@ _CELLS = ", ".join([
     _nearest("grid_lat", "events_at", "c_custkey", '"Latitude"', "grid", "lat"),
     _nearest("grid_lon", "events_at", "c_custkey", _LON360, "grid", "lon"),
 ])
-_AT_EVENTS = f"""{_nearest("grid_time", "events_at", "c_custkey", "event_date", "rolled", "time")},
-found AS (SELECT e.c_custkey, e.event_date, e."Latitude", e."Longitude", grid_lat, grid_lon, """ \
-    + ", ".join(f"max(pr) FILTER (WHERE scenario = '{s}') AS {c}" for s, c in FEATURES.items()) \
-    + """ FROM events_at e LEFT JOIN grid_lat USING (c_custkey) LEFT JOIN grid_lon USING (c_custkey)
-      LEFT JOIN grid_time USING (c_custkey)
-      LEFT JOIN rolled r ON r.lat = grid_lat AND r.lon = grid_lon AND r.time = grid_time
-      GROUP BY ALL)"""
-# One scenario ends early, and every scenario is looked up in its own months.
-_EARLY = _GRID.replace("FROM named)", "FROM named WHERE scenario <> 'ssp126' OR month < DATE '1996-09-01')")
-_EARLY_ROLLED = f"{_EARLY}, {_stitch_sql(True)}, {_roll_sql(MONTHS)}"
 
 
-def _own_months(days: str) -> str:
-    """near (day, scenario, month): the nearest month of that scenario, the later one on ties."""
-    return f"""near AS (SELECT day, scenario, month FROM (SELECT day, scenario, month, row_number() OVER (
+def _own_months(name: str, days: str) -> str:
+    """(day, scenario, month): the nearest month of that scenario, the later one on ties."""
+    return f"""{name} AS (SELECT day, scenario, month FROM (SELECT day, scenario, month, row_number() OVER (
       PARTITION BY day, scenario ORDER BY abs(day - month), month DESC) AS rn FROM ({days})
       CROSS JOIN (SELECT DISTINCT scenario, time AS month FROM rolled)) WHERE rn = 1)"""
 
 
+_AT_EVENTS = f"""{_own_months("at_event", "SELECT DISTINCT event_date AS day FROM events_at WHERE event_date IS NOT NULL")},
+found AS (SELECT e.c_custkey, e.event_date, e."Latitude", e."Longitude", grid_lat, grid_lon, """ \
+    + ", ".join(f"max(pr) FILTER (WHERE r.scenario = '{s}') AS {c}" for s, c in FEATURES.items()) \
+    + """ FROM events_at e LEFT JOIN grid_lat USING (c_custkey) LEFT JOIN grid_lon USING (c_custkey)
+      LEFT JOIN at_event a ON a.day = e.event_date
+      LEFT JOIN rolled r ON r.scenario = a.scenario AND r.lat = grid_lat AND r.lon = grid_lon AND r.time = a.month
+      GROUP BY ALL)"""
+# One scenario ends early.
+_EARLY = _GRID.replace("FROM named)", "FROM named WHERE scenario <> 'ssp126' OR month < DATE '1996-09-01')")
+_EARLY_ROLLED = f"{_EARLY}, {_stitch_sql(True)}, {_roll_sql(MONTHS)}"
 _SCENARIO_LIST = ", ".join(f"'{s}'" for s in S.SCENARIOS)
 _MOVED = f"""moved AS (SELECT f.*, y AS forecast_year, s AS scenario,
       CAST(event_date + to_years(CAST(y - year(event_date) AS INTEGER)) AS DATE) AS moved_date
       FROM found f CROSS JOIN (SELECT unnest({YEARS}) AS y)
       CROSS JOIN (SELECT unnest([{_SCENARIO_LIST}]) AS s)),
 days AS (SELECT DISTINCT moved_date FROM moved WHERE moved_date IS NOT NULL),
-{_nearest("near", "days", "moved_date", "moved_date", "rolled", "time")},
+{_own_months("near", "SELECT moved_date AS day FROM days")},
 expanded AS (SELECT m.*, r.pr AS scenario_precipitation FROM moved m
-      LEFT JOIN near n ON m.moved_date = n.moved_date
+      LEFT JOIN near n ON m.moved_date = n.day AND n.scenario = m.scenario
       LEFT JOIN rolled r ON r.scenario = m.scenario AND r.lat = m.grid_lat AND r.lon = m.grid_lon
-      AND r.time = n.near)"""
+      AND r.time = n.month)"""
 _PAIRS = f"""future AS (SELECT o_orderkey, o_totalprice, s AS scenario, y AS forecast_year,
       CASE WHEN o_totalprice * (1 + CAST(0.02 AS DOUBLE) * k * (y - 2020) / 5)
       - (o_orderkey % 7) * 20000 < 250000 THEN 1 ELSE 0 END AS predicted,
@@ -374,7 +374,7 @@ ORACLE = {
                       f"event_date, \"Latitude\", \"Longitude\", {_SHOWN} FROM found",
     "climate_enrich_early_end": f"""WITH {_EARLY_ROLLED}, {_EVENTS}, late AS (SELECT c_custkey,
         CAST(event_date + INTERVAL 30 MONTH AS DATE) AS event_date, "Latitude", "Longitude" FROM events_at),
-        {_CELLS}, {_own_months("SELECT DISTINCT event_date AS day FROM late WHERE event_date IS NOT NULL")}
+        {_CELLS}, {_own_months("near", "SELECT DISTINCT event_date AS day FROM late WHERE event_date IS NOT NULL")}
         SELECT c_custkey, event_date, "Latitude", "Longitude", """ + ", ".join(
         f"round(max(pr) FILTER (WHERE r.scenario = '{s}'), 3) AS {c}" for s, c in FEATURES.items()) + """
         FROM late LEFT JOIN grid_lat USING (c_custkey) LEFT JOIN grid_lon USING (c_custkey)
@@ -384,7 +384,7 @@ ORACLE = {
         y AS forecast_year, s AS scenario, CAST(event_date + to_years(CAST(y - year(event_date) AS INTEGER))
         AS DATE) AS moved_date FROM events_at e CROSS JOIN (SELECT unnest({YEARS}) AS y)
         CROSS JOIN (SELECT unnest([{_SCENARIO_LIST}]) AS s)),
-        {_own_months("SELECT DISTINCT moved_date AS day FROM moved WHERE moved_date IS NOT NULL")}
+        {_own_months("near", "SELECT DISTINCT moved_date AS day FROM moved WHERE moved_date IS NOT NULL")}
         SELECT c_custkey, moved_date AS event_date, "Latitude", "Longitude", forecast_year, m.scenario,
         round(pr, 3) AS scenario_precipitation FROM moved m LEFT JOIN grid_lat USING (c_custkey)
         LEFT JOIN grid_lon USING (c_custkey) LEFT JOIN near n ON day = moved_date AND n.scenario = m.scenario
