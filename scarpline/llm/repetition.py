@@ -45,12 +45,12 @@ def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Suffix order of a sequence, and the common prefix of each suffix with the one before it."""
     n = len(symbols)
     rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64)
-    levels, width = [np.append(rank, -1)], 1
+    levels, width = [np.append(rank, -1).astype(np.int32)], 1
     while n and rank.max() < n - 1:
         later = np.zeros(n, dtype=np.int64)
         later[:n - width] = rank[width:] + 1
         rank = np.unique(rank * (n + 1) + later, return_inverse=True)[1].astype(np.int64)
-        levels.append(np.append(rank, -1))
+        levels.append(np.append(rank, -1).astype(np.int32))
         width *= 2
     order = np.argsort(rank, kind="stable")
     common = np.zeros(n, dtype=np.int64)
