@@ -149,6 +149,47 @@ def test_rows_without_id_in_near_groups(odd):
     assert sorted((r.component_id is None, r.kept) for r in rows) == [(False, False), (True, True)]
 
 
+def replaced(n):
+    return " ".join([f"v{j}" for j in range(n)] + [f"w{j}" for j in range(n, 100)])
+
+
+def test_rows_without_id_are_linked_and_are_bridges(spark):
+    """Texts that differ in 8 words are linked, those that differ in 16 are not."""
+    rows = [(7, replaced(0)), (None, replaced(8)), (3, replaced(16)), (9, replaced(100)),
+            (None, "n" + replaced(40)), (None, "n" + replaced(41)), (None, "n" + replaced(41))]
+    frame = spark.createDataFrame(rows * 30, "doc_id long, text string")
+    result = Counter((r.doc_id, r.component_id, r.kept) for r in setsketch.near_groups(frame, cell=1).collect())
+    assert result[7, 3, False] == result[3, 3, True] == result[None, 3, False] == result[9, 9, True] == 30
+    assert sorted(n for r, n in result.items() if r[:2] == (None, None)) == [30, 60]
+    assert sum(r[2] for r in result if r[:2] == (None, None)) == 1
+    left = Counter(r.doc_id for r in setsketch.keep_first(frame).collect())
+    assert left == {3: 1, 9: 1, None: 1}
+
+
+def test_rows_with_neither_id_nor_word_stay(spark):
+    rows = [(None, None), (None, ""), (None, " "), (None, ""), (1, ""), (1, ""), (2, None), (3, "a b")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(r.doc_id for r in setsketch.keep_first(frame).collect()) == {None: 4, 1: 1, 2: 1, 3: 1}
+
+
+def test_only_classes_with_a_likely_partner_get_their_text():
+    """Two of 200 sketches in one cell are alike; the others share its band by chance."""
+    generator = np.random.default_rng(8)
+    sets = [generator.integers(0, 2**63, 400).astype(np.uint64) for _ in range(199)]
+    sets.append(np.concatenate([sets[0][:390], sets[1][:10]]))
+    sketches = [setsketch.registers(s) for s in sets]
+    for s in sketches:
+        s[:setsketch.ROWS] = 1
+    key_ = int(setsketch.band_keys(sketches[0])[0])
+    table = setsketch.pa.table({
+        **{name: setsketch.pa.array(values, setsketch.pa.int64()) for name, values in {
+            "key": [key_] * 200, "l": [0] * 200, "r": [0] * 200, "side": [0] + [2] * 199, "rep": range(200),
+            "comp": range(200), "n": [400] * 200}.items()},
+        "sketch": [s.tobytes() for s in sketches]})
+    wanted = [r for b in setsketch._wanted(iter(table.to_batches()), 75) for r in b.column("rep").to_pylist()]
+    assert sorted(wanted) == [0, 199]
+
+
 def test_chain_through_a_large_group_is_linked(spark):
     """Each text differs from the next by one word, so the ends share nothing like 0.75."""
     base = [f"w{i}" for i in range(100)]
