@@ -318,9 +318,11 @@ def near_groups(docs: DataFrame, similar: int = SIMILAR, cell: int = CELL) -> Da
     members = cut_lineage(banded.join(centres, "key"))
 
     nodes = members.select("rep").distinct()
-    # One row of each class that shares a band; rows that repeat id and text are merged before the shuffle.
+    # One row of each class that shares a band; rows that repeat id and text are merged before the one
+    # shuffle of the texts.
     ones = classes.join(nodes, "rep", "left_semi").select("rep", "one.*")
-    texts = cut_lineage(with_row_key(text_rows).join(ones, ["__id", "__hash"]).select("rep", "text").dropDuplicates(["rep"]))
+    once = with_row_key(text_rows).select("__id", "__hash", "text").dropDuplicates(["__id", "__hash"])
+    texts = cut_lineage(once.join(ones, ["__id", "__hash"]).select("rep", "text"))
     stars = members.where("centre < rep").groupBy(F.col("rep").alias("a")).agg(F.min("centre").alias("b"))
     linked = _check(stars, texts, similar).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
     alone = nodes.select(F.col("rep").alias("node"), F.col("rep").alias("root"))
