@@ -11,7 +11,8 @@ passage that a large share of all documents holds costs one fact per bucket. An
 different facts under one hash, as op5 does with contexts, must bound their number itself.
 
 Inside a bucket documents are ordered by id and text; a fact's place counts through that order, and so
-needs no id. Rows with the same id and text are interchangeable.
+needs no id. Rows with the same id and text are interchangeable and share a bucket: where such rows would
+fill one, they are counted first and dealt as one row with its number of ``times``.
 """
 
 from __future__ import annotations
@@ -25,9 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scarpline.llm.common import id_and_text, rows
+from scarpline.session import cut_lineage
 
 BUCKET_BYTES = 1 << 22
 FACTS = "part long, dest long, payload binary"
+ROW_BYTES = 64  # what a row weighs besides its text
+TURN = 1 << 15  # copies made of a row at once
 _CODEC = pa.Codec("zstd", compression_level=1)
 
 
@@ -65,10 +69,32 @@ def fact_rows(facts: list[tuple[int, int, bytes]]) -> pa.Table:
                      "payload": pa.array(payload, pa.binary())})
 
 
-def ordered(table: pa.Table) -> tuple[list[int | None], list[bytes]]:
-    """Ids and texts of a bucket in its fixed order."""
-    found = sorted(rows(table, binary=True), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-    return [r[0] for r in found], [r[1] for r in found]
+def ordered(table: pa.Table) -> tuple[list[int | None], list[bytes], list[int]]:
+    """Ids, texts and times of a bucket's rows in its fixed order."""
+    found = sorted(zip(rows(table, binary=True), table.column("times").to_pylist(), strict=True),
+                   key=lambda r: (r[0][0] is None, r[0][0] or 0, r[0][1]))
+    return [r[0][0] for r in found], [r[0][1] for r in found], [r[1] for r in found]
+
+
+def _counted(text_rows: DataFrame, limit: int) -> DataFrame:
+    """(doc_id, text, times): rows that repeat id and text more often than fits ``limit`` bytes are one."""
+    weight = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + ROW_BYTES
+    keyed = text_rows.withColumn("__key", F.xxhash64("doc_id", "text"))
+    # Hashes are counted on the map side; only those of very many rows are left.
+    hot = cut_lineage(keyed.groupBy("__key").agg(F.sum(weight).alias("bytes"), F.count(F.lit(1)).alias("n"))
+                      .where((F.col("n") > 1) & (F.col("bytes") > limit)).select("__key"))
+    if hot.isEmpty():
+        return text_rows.withColumn("times", F.lit(1).cast("long"))
+    merged = keyed.join(hot, "__key", "left_semi").groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("times"))
+    others = keyed.join(hot, "__key", "left_anti")
+    return others.select("doc_id", "text", F.lit(1).cast("long").alias("times")).unionByName(merged)
+
+
+def _each(found: DataFrame) -> DataFrame:
+    """A row for each of a row's times, made in bounded arrays."""
+    turns = found.withColumn("__turn", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(times - 1) div {TURN}"))))
+    return turns.withColumn("__i", F.explode(F.sequence(
+        F.col("__turn") * TURN + 1, F.least(F.col("times"), (F.col("__turn") + 1) * TURN)))).drop("times", "__turn", "__i")
 
 
 class Exchange:
@@ -77,11 +103,11 @@ class Exchange:
     def __init__(self, docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, part_bytes: int = BUCKET_BYTES) -> None:
         """``part_bytes``: text whose facts one part should compare, at their usual density."""
         text_rows = id_and_text(docs)
-        total = text_rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        total = text_rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + ROW_BYTES)).first()[0] or 0
         self.parts = total // part_bytes + 1
         dest = F.pmod(F.xxhash64("doc_id", "text"), F.lit(total // bucket_bytes + 1))
         # Every round groups this same projection, so its shuffle is made once and reused.
-        self.dealt = text_rows.select(dest.alias("dest"), "doc_id", "text")
+        self.dealt = _counted(text_rows, bucket_bytes).select(dest.alias("dest"), "doc_id", "text", "times")
 
     def facts(self, make: Callable, answers: DataFrame | None = None, schema: str = FACTS) -> DataFrame:
         """``make(dest, table, payloads)`` for every bucket, with the answers that came back to it."""
@@ -97,6 +123,10 @@ class Exchange:
 
         return groups.cogroup(answers.groupBy("dest")).applyInArrow(met, schema)
 
+    def results(self, make: Callable, answers: DataFrame, schema: str) -> DataFrame:
+        """The last round's rows; ``make`` gives each document's with its ``times``."""
+        return _each(self.facts(make, answers, f"{schema}, times long"))
+
     def compared(self, facts: DataFrame, compare: Callable) -> DataFrame:
         """Answers (dest, payload): ``compare(dests, payloads)`` yields them for the facts of a part.
 

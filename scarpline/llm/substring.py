@@ -56,9 +56,12 @@ def _at(hashes: np.ndarray, offsets: np.ndarray, size: int, chosen: np.ndarray |
     return places, whole[places]
 
 
-def _sent(dest: int, places: np.ndarray, hashes: np.ndarray, parts: int, width: str) -> list[tuple[int, int, bytes]]:
-    """Facts of a bucket: one for each distinct hash, and the places of those that repeat here."""
+def _sent(dest: int, places: np.ndarray, hashes: np.ndarray, again: np.ndarray, parts: int,
+          width: str) -> list[tuple[int, int, bytes]]:
+    """Facts of a bucket: one for each distinct hash, and the places of those that repeat here, or that
+    lie in words of a row given ``again``."""
     first, many = first_and_others(hashes)
+    many |= again[places]
     out = []
     if many.any():
         out.append((-1 - dest, dest, pack(gaps(places[many]))))
@@ -107,22 +110,28 @@ def remove_repeats(docs: DataFrame, **sizes: int) -> DataFrame:
     parts = exchange.parts
     cover = np.isin(np.arange(PERIOD), COVER)
 
+    def repeated_rows(times: list[int], offsets: np.ndarray) -> np.ndarray:
+        return np.repeat(np.array(times, dtype=np.int64) > 1, np.diff(offsets))
+
     def anchors(dest: int, table: pa.Table, _: list[bytes]) -> pa.Table:
-        hashes, offsets = _words(ordered(table)[1])
+        _, texts, times = ordered(table)
+        hashes, offsets = _words(texts)
         index = np.arange(len(hashes)) - np.repeat(offsets[:-1], np.diff(offsets))
         found = _at(hashes, offsets, ANCHOR, cover[index % PERIOD])
         # 32 bits next to the part are enough: an anchor that seems to repeat only costs time.
-        return fact_rows(_sent(dest, *found, parts, "<u4"))
+        return fact_rows(_sent(dest, *found, repeated_rows(times, offsets), parts, "<u4"))
 
     def windows(dest: int, table: pa.Table, answers: list[bytes]) -> pa.Table:
         if not table.num_rows or not answers:
             return fact_rows([])
-        hashes, offsets = _words(ordered(table)[1])
+        _, texts, times = ordered(table)
+        hashes, offsets = _words(texts)
         likely = _spread(_places(answers, len(hashes)), PERIOD - 1, 0)
-        return fact_rows(_sent(dest, *_at(hashes, offsets, WINDOW, likely), parts, "<u8"))
+        found = _at(hashes, offsets, WINDOW, likely)
+        return fact_rows(_sent(dest, *found, repeated_rows(times, offsets), parts, "<u8"))
 
     def removed(dest: int, table: pa.Table, answers: list[bytes]) -> pa.Table:
-        ids, texts = ordered(table)
+        ids, texts, times = ordered(table)
         normal = [one_space(t).strip() for t in texts]
         sizes_ = [t.count(b" ") + 1 if t else 0 for t in normal]
         offsets = np.cumsum([0, *sizes_])
@@ -135,8 +144,9 @@ def remove_repeats(docs: DataFrame, **sizes: int) -> DataFrame:
                 text = b" ".join(compress(text.split(b" "), (~own).tolist()))
             digests.append(hashlib.sha256(text).hexdigest())
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(sizes_, pa.int64()),
-                         "n_removed": pa.array(counts, pa.int64()), "kept_sha256": pa.array(digests, pa.string())})
+                         "n_removed": pa.array(counts, pa.int64()), "kept_sha256": pa.array(digests, pa.string()),
+                         "times": pa.array(times, pa.int64())})
 
     likely = exchange.compared(exchange.facts(anchors), _repeated)
     repeated = exchange.compared(exchange.facts(windows, likely), _repeated)
-    return exchange.facts(removed, repeated, _SCHEMA)
+    return exchange.results(removed, repeated, _SCHEMA)

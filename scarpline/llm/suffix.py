@@ -287,7 +287,7 @@ def remove_repeats(docs: DataFrame, **sizes: int) -> DataFrame:
                 yield dest, pack(gaps(place[many[here]]), gaps(place[hot[here]]))
 
     def contexts(dest: int, table: pa.Table, answers: list[bytes]) -> pa.Table:
-        ids, texts = ordered(table)
+        ids, texts, _ = ordered(table)
         if not answers or not texts:
             return fact_rows([])
         likely = np.zeros(sum(map(len, texts)), dtype=bool)
@@ -364,7 +364,7 @@ def remove_repeats(docs: DataFrame, **sizes: int) -> DataFrame:
         return out
 
     def removed(dest: int, table: pa.Table, answers: list[bytes]) -> pa.Table:
-        ids, texts = ordered(table)
+        ids, texts, times = ordered(table)
         offsets = np.cumsum([0, *map(len, texts)])
         change = np.zeros(int(offsets[-1]) + 1, dtype=np.int64)
         alone = [np.empty(0, dtype=np.int64)]
@@ -402,8 +402,8 @@ def remove_repeats(docs: DataFrame, **sizes: int) -> DataFrame:
         return pa.table({
             "doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array([len(t) for t in texts], pa.int64()),
             "n_removed": pa.array(counts, pa.int64()), "n_spans": pa.array(spans, pa.int64()),
-            "kept_sha256": pa.array(digests, pa.string())})
+            "kept_sha256": pa.array(digests, pa.string()), "times": pa.array(times, pa.int64())})
 
     likely = exchange.compared(exchange.facts(grams), repeated)
     spans = exchange.compared(exchange.facts(contexts, likely), _compared)
-    return exchange.facts(removed, spans, _SCHEMA)
+    return exchange.results(removed, spans, _SCHEMA)

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from scarpline.llm import chat, exact, huffman, mixing, packing, quality, repetition, setsketch, substring, suffix
+from scarpline.llm import chat, exact, exchange, huffman, mixing, packing, quality, repetition, setsketch, substring, suffix
 from scarpline.llm.common import shared_folder
 from scarpline.llm.components import components
 from scarpline.llm.queries import ORACLE, QUERIES
@@ -61,6 +61,22 @@ def test_repeated_bytes(both, sizes):
     assert found == sorted(brute.removed_bytes(texts(both)), key=key)
 
 
+@pytest.mark.parametrize("remove, plain", [
+    (substring.remove_repeats, brute.removed_words), (suffix.remove_repeats, brute.removed_bytes)])
+def test_rows_given_very_often_are_dealt_once(spark, docs, remove, plain):
+    passage = " ".join(f"given{i}" for i in range(80))
+    once = texts(docs)[:40] + [(500, "before " + passage + " after"), (7000, passage + " tail")]
+    often = [(None, passage), (600, passage + " twice"), (None, None), (5, ""), (6, "few words here")]
+    frame = spark.createDataFrame(once + often * 2000, "doc_id long, text string")
+    dealt = exchange.Exchange(frame, bucket_bytes=1 << 15).dealt
+    assert dealt.count() == len(once) + len(often) and dict(dealt.groupBy("times").count().collect()) == {
+        1: len(once), 2000: len(often)}
+    result = remove(frame, bucket_bytes=1 << 15, part_bytes=1 << 15)
+    found = Counter(map(tuple, result.collect()))
+    # Two rows say the same as two thousand.
+    assert found == {r: 1000 * n if n > 1 else n for r, n in Counter(plain(once + often * 2)).items()}
+
+
 def test_frequent_phrase_in_varied_surroundings_is_no_single_part(spark, monkeypatch):
     phrase = "as has often been said in such matters, "
     rows = [(None if i % 7 == 0 else i % 9000, f"{hash_hex(i)}{phrase}{hash_hex(-i if i % 5 else 3)}")
