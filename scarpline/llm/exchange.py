@@ -76,18 +76,21 @@ def ordered(table: pa.Table) -> tuple[list[int | None], list[bytes], list[int]]:
     return [r[0][0] for r in found], [r[0][1] for r in found], [r[1] for r in found]
 
 
-def _counted(text_rows: DataFrame, limit: int) -> DataFrame:
-    """(doc_id, text, times): rows that repeat id and text more often than fits ``limit`` bytes are one."""
+def _counted(text_rows: DataFrame, limit: int) -> tuple[DataFrame, int]:
+    """(doc_id, text, times) and the bytes of all rows. Rows that repeat id and text, and would fill more
+    than ``limit`` bytes, are one."""
     weight = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + ROW_BYTES
     keyed = text_rows.withColumn("__key", F.xxhash64("doc_id", "text"))
-    # Hashes are counted on the map side; only those of very many rows are left.
-    hot = cut_lineage(keyed.groupBy("__key").agg(F.sum(weight).alias("bytes"), F.count(F.lit(1)).alias("n"))
-                      .where((F.col("n") > 1) & (F.col("bytes") > limit)).select("__key"))
-    if hot.isEmpty():
-        return text_rows.withColumn("times", F.lit(1).cast("long"))
+    # Only hashes and sizes are shuffled, merged on the map side.
+    groups = keyed.groupBy("__key").agg(F.sum(weight).alias("bytes"), F.count(F.lit(1)).alias("n"))
+    total, most = groups.agg(F.sum("bytes"), F.max(F.when(F.col("n") > 1, F.col("bytes")))).first()
+    one = F.lit(1).cast("long").alias("times")
+    if (most or 0) <= limit:
+        return text_rows.select("doc_id", "text", one), total or 0
+    hot = cut_lineage(groups.where((F.col("n") > 1) & (F.col("bytes") > limit)).select("__key"))
     merged = keyed.join(hot, "__key", "left_semi").groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("times"))
-    others = keyed.join(hot, "__key", "left_anti")
-    return others.select("doc_id", "text", F.lit(1).cast("long").alias("times")).unionByName(merged)
+    others = keyed.join(hot, "__key", "left_anti").select("doc_id", "text", one)
+    return others.unionByName(merged), total
 
 
 def _each(found: DataFrame) -> DataFrame:
@@ -102,12 +105,11 @@ class Exchange:
 
     def __init__(self, docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, part_bytes: int = BUCKET_BYTES) -> None:
         """``part_bytes``: text whose facts one part should compare, at their usual density."""
-        text_rows = id_and_text(docs)
-        total = text_rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + ROW_BYTES)).first()[0] or 0
+        counted, total = _counted(id_and_text(docs), bucket_bytes)
         self.parts = total // part_bytes + 1
         dest = F.pmod(F.xxhash64("doc_id", "text"), F.lit(total // bucket_bytes + 1))
         # Every round groups this same projection, so its shuffle is made once and reused.
-        self.dealt = _counted(text_rows, bucket_bytes).select(dest.alias("dest"), "doc_id", "text", "times")
+        self.dealt = counted.select(dest.alias("dest"), "doc_id", "text", "times")
 
     def facts(self, make: Callable, answers: DataFrame | None = None, schema: str = FACTS) -> DataFrame:
         """``make(dest, table, payloads)`` for every bucket, with the answers that came back to it."""
