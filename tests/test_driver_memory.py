@@ -1,8 +1,10 @@
 """What grows with the table never passes through the driver."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from scarpline.operators import transitions
+from scarpline.operators import fitting, forest, models, transitions
+from scarpline.operators.fitting import Job
 
 
 def test_aligned_predictions_are_not_broadcast_by_estimate(spark):
@@ -15,3 +17,33 @@ def test_aligned_predictions_are_not_broadcast_by_estimate(spark):
     assert (row["total_points"], row["stable_to_unstable"]) == (100, 50)
     assert pairs.count() == 200
     assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture(scope="module")
+def frame(spark):
+    i = F.col("id")
+    rows = spark.range(400).select(
+        i.alias("row_id"), F.pmod(F.xxhash64(i), F.lit(997)).cast("double").alias("a"),
+        F.pmod(F.xxhash64(i, F.lit(1)), F.lit(7)).cast("double").alias("b.c"))
+    noise = F.pmod(F.xxhash64(F.col("row_id"), F.lit(2)), F.lit(8)) == 0
+    return rows.withColumn("y", ((F.col("a") + F.col("`b.c`") * 50 > 650) != noise).cast("int")).cache()
+
+
+@pytest.mark.parametrize("cells", [None, 2 * 50])
+def test_trees_stay_with_spark_and_the_driver_takes_gains(frame, cells):
+    table = fitting.training_table(frame, ["a", "b.c"], "y")
+    model = forest.plant(table, ["a", "b.c"], [Job(("a", "b.c"))], 3, 42, cells=cells)[0]
+    assert model.size > 0 and len(model.gains) == 3
+    assert sorted(model.stored.columns) == ["gains", "job", "nodes", "tree"] and model.stored.count() == 3
+
+
+def test_a_forest_too_large_to_send_votes_as_a_small_one(frame, monkeypatch):
+    gaps = frame.unionByName(frame.limit(40)).withColumn("a", F.when(F.col("row_id") % 9 != 0, F.col("a")))
+    sent = models.random_forest(9)(frame, ["a", "b.c"], "y").predict(gaps)
+    monkeypatch.setattr(forest, "MODEL_BYTES", 0)
+    monkeypatch.setattr(forest, "PART_BYTES", 4000)
+    monkeypatch.setattr(forest, "PART_ROWS", 150)
+    met = models.random_forest(9)(frame, ["a", "b.c"], "y").predict(gaps)
+    assert met.columns == sent.columns == [*gaps.columns, "prediction"]
+    assert sorted(map(tuple, met.collect()), key=str) == sorted(map(tuple, sent.collect()), key=str)
+    assert met.where("prediction = y").count() > 300
