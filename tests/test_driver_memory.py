@@ -1,9 +1,10 @@
 """What grows with the table never passes through the driver."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scarpline.operators import fitting, forest, models, transitions
+from scarpline.operators import boosting, fitting, forest, models, transitions
 from scarpline.operators.fitting import Job
 
 
@@ -47,3 +48,17 @@ def test_a_forest_too_large_to_send_votes_as_a_small_one(frame, monkeypatch):
     assert met.columns == sent.columns == [*gaps.columns, "prediction"]
     assert sorted(map(tuple, met.collect()), key=str) == sorted(map(tuple, sent.collect()), key=str)
     assert met.where("prediction = y").count() > 300
+
+
+def test_staged_rows_are_kept_in_blocks_of_columns(frame):
+    table = fitting.training_table(frame, ["a", "b.c"], "y").coalesce(1)
+    jobs = [Job(("a", "b.c")), Job(("a",))]
+    cuts = fitting.cut_points(fitting.sampled(table, None, 2), 300)
+    staged = boosting._Staged(table, jobs, cuts, [np.array([True, True]), np.array([True, False])], 300, 0.1)
+    assert staged.state.count() == 1  # not a row of Python objects per training row
+    trees = [boosting.Tree(np.array([True, True]), 3) for _ in jobs]
+    while any(tree.wanted() for tree in trees):
+        for tree, counted in zip(trees, staged.count(trees), strict=True):
+            tree.take(counted)
+    codes = fitting.codes_of(fitting.held_locally(table, 2).x, cuts)
+    assert (trees[0].placed(np.ascontiguousarray(codes.T)) == trees[0].place(codes)).all()
