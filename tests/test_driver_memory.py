@@ -62,3 +62,14 @@ def test_staged_rows_are_kept_in_blocks_of_columns(frame):
             tree.take(counted)
     codes = fitting.codes_of(fitting.held_locally(table, 2).x, cuts)
     assert (trees[0].placed(np.ascontiguousarray(codes.T)) == trees[0].place(codes)).all()
+
+
+def test_staged_stumps_keep_blocks_of_columns(frame, monkeypatch):
+    kept = []
+    cut = models.cut_lineage
+    monkeypatch.setattr(models, "cut_lineage", lambda df: kept.append(cut(df)) or kept[-1])
+    rows = frame.coalesce(1)  # quantiles are those of a layout
+    staged = models.staged_stumps(5, bins=32, cut_every=2)(rows, ["a", "b.c"], "y")
+    assert len(kept) == 3 and all(df.count() == 1 for df in kept)
+    held = models.adaptive_boosting(5, bins=32)(rows, ["a", "b.c"], "y")
+    assert staged.importances == pytest.approx(held.importances, abs=1e-9)
