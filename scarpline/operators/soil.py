@@ -14,6 +14,7 @@ from scarpline.operators.columns import NUMERIC_TYPES, quoted
 POINT = ["latitude", "longitude"]
 OPTIONAL_CLASSES = ["runoff", "erocl"]
 NULL_SALTS = 256
+SPREAD = "__spread"  # below NULL_SALTS, from the whole row; so that a join need not carry columns to spread its rows
 SALTS = 64
 HOT_ROWS = 100_000  # rows that make a key a frequent one
 MOST_HOT = 1000
@@ -65,20 +66,34 @@ def _outer(
     """Full or left equi join whose frequent keys are spread over ``SALTS`` tasks.
 
     Neither join can be split by AQE on its preserved side. Rows with a null key match nothing and are
-    spread by their hash. Rows of a frequent key are spread on the side where it is frequent, and the
-    other side's rows of that key are copied to every salt. A frequent key has rows on its own side, so
-    a copy that met none only met an empty salt, and is dropped. A key that is frequent on both sides is
-    spread on the right.
+    spread by their hash, or by ``SPREAD`` where a side has it. Rows of a frequent key are spread on the side
+    where it is frequent, and the other side's rows of that key are copied to every salt. A frequent key has
+    rows on its own side, so a copy that met none only met an empty salt, and is dropped. A key that is
+    frequent on both sides is spread on the right.
     """
     hot_right = hot_right or []
     hot_left = [k for k in hot_left or [] if k not in hot_right]
+    carried = SPREAD in left.columns or SPREAD in right.columns
+    left, right = (df.withColumnRenamed(SPREAD, f"__{side}_spread") for df, side in ((left, "l"), (right, "r")))
+
+    def with_spread(joined: DataFrame) -> DataFrame:
+        """The spread of a joined row follows from those of its two rows."""
+        if not carried:
+            return joined
+        parts = [F.coalesce(F.col(c).cast("int"), F.lit(0)) for c in ("__l_spread", "__r_spread") if c in joined.columns]
+        return joined.withColumn(SPREAD, F.pmod(reduce(Column.__add__, parts), F.lit(NULL_SALTS)).cast("short")).drop(
+            "__l_spread", "__r_spread")
+
     if how == "left" and not hot_right:
-        return left.join(right, F.col(left_key) == F.col(right_key), how)
+        return with_spread(left.join(right, F.col(left_key) == F.col(right_key), how))
 
     def salted(df: DataFrame, key: str, spread: list, copied: list, side: str) -> DataFrame:
-        text, number = F.col(key).cast("string"), F.xxhash64(*[quoted(c) for c in df.columns])
+        text, own_spread = F.col(key).cast("string"), f"__{side}_spread"
+        number = F.col(own_spread).cast("long") if own_spread in df.columns else F.xxhash64(*[quoted(c) for c in df.columns])
         own = F.when(F.col(key).isNull(), F.pmod(number, F.lit(NULL_SALTS)) + SALTS).when(
             text.isin(spread), F.pmod(number, F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
+        if not hot_left and not hot_right:
+            return df.withColumn(f"__{side}_salt", own)
         copy = F.coalesce(text.isin(copied), F.lit(False))
         marked = df.withColumns({f"__{side}": F.lit(True), f"__{side}_copy": copy})
         salts = F.when(copy, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(own))
@@ -87,9 +102,10 @@ def _outer(
     one = salted(left, left_key, hot_left, hot_right, "l")
     two = salted(right, right_key, hot_right, hot_left, "r")
     joined = one.join(two, (F.col(left_key) == F.col(right_key)) & (F.col("__l_salt") == F.col("__r_salt")), how)
-    alone = (F.col("__l").isNull() & F.col("__r_copy")) | (F.col("__r").isNull() & F.col("__l_copy"))
-    kept = joined.where(~F.coalesce(alone, F.lit(False))) if hot_left or hot_right else joined
-    return kept.drop(*[f"__{side}{part}" for side in "lr" for part in ("", "_copy", "_salt")])
+    if hot_left or hot_right:
+        alone = (F.col("__l").isNull() & F.col("__r_copy")) | (F.col("__r").isNull() & F.col("__l_copy"))
+        joined = joined.where(~F.coalesce(alone, F.lit(False)))
+    return with_spread(joined).drop(*[f"__{side}{part}" for side in "lr" for part in ("", "_copy", "_salt")])
 
 
 def _left_to_many(
@@ -108,7 +124,12 @@ def _left_to_many(
 def _linked(
     tables: dict[str, DataFrame], comonth_key: str, how: str, mapunits: DataFrame | None = None
 ) -> DataFrame:
-    """The eleven tables joined along their keys; ``how`` is the type of every join."""
+    """The eleven tables joined along their keys; ``how`` is the type of every join.
+
+    Full joins on keys that match no null may be taken in any order along the tree of links, as every row
+    of a part stays a row of the whole. So tables linked by a horizon meet the horizons first, and these meet
+    the components last, when all others are joined: the widest rows are made once and not shuffled again.
+    """
     pick = lambda name, **names: _renamed(tables[name], names)
     legend = pick("legend", areasymbol="lg_area", lkey="lg_lkey")
     catalog = pick("sacatalog", areasymbol="sc_area")
@@ -141,11 +162,29 @@ def _linked(
         (restriction, "cokey", "rt_cokey"),
     ]
     hot = hot_keys({right_key: (table, right_key) for table, _, right_key in steps})
+    if how == "full":
+        spread = lambda df: df.withColumn(
+            SPREAD, F.pmod(F.xxhash64(*[quoted(c) for c in df.columns]), F.lit(NULL_SALTS)).cast("short"))
+        units = spread(units).select("mukey", SPREAD)
+        component, month, moisture, horizon, texture_group, texture, material, restriction = (
+            spread(table) for table, _, _ in steps)
+        month = _outer(month, moisture, "cm_key", "csm_key", how, None, hot["csm_key"])
+        texture_group = _outer(texture_group, texture, "ctg_key", "ct_key", how, None, hot["ct_key"])
+        horizon = _outer(horizon, texture_group, "chkey", "ctg_chkey", how, None, hot["ctg_chkey"])
+        steps = [
+            (component, "mukey", "co_mukey"), (month, "cokey", "cm_link"), (material, "cokey", "pmg_cokey"),
+            (restriction, "cokey", "rt_cokey"), (horizon, "cokey", "ch_cokey"),
+        ]
     chain, seen = units, {}
+    # Only keys that some component has are in the chain; the others' rows must not be copied, as they meet none.
+    links = [k for _, left_key, right_key in steps if left_key == "cokey" for k in hot[right_key]]
+    owned = component.where(F.col("cokey").cast("string").isin(links)).select(F.col("cokey").cast("string")).distinct()
+    known = {row[0] for row in owned.collect()} if links else set()
     for table, left_key, right_key in steps:
         # Rows that a frequent key brought into the chain make it frequent on the left from then on.
         chain = _outer(chain, table, left_key, right_key, how, seen.get(left_key), hot[right_key])
-        seen[left_key] = list(dict.fromkeys([*seen.get(left_key, []), *hot[right_key]]))
+        brought = [k for k in hot[right_key] if left_key != "cokey" or k in known]
+        seen[left_key] = list(dict.fromkeys([*seen.get(left_key, []), *brought]))
     return chain
 
 

@@ -2,6 +2,7 @@
 
 import datetime
 import random
+import re
 
 import numpy as np
 import pytest
@@ -174,3 +175,53 @@ def test_one_component_in_half_of_all_rows_is_many_tasks(spark, monkeypatch):
             spark.conf.set(k, v)
     assert hot == ["c7"] and sum(sizes) == n + 1000
     assert max(sizes) < 0.05 * sum(sizes)
+
+
+def _survey(spark, seed):
+    """Random survey tables, with null, repeated and unmatched keys."""
+    generator = random.Random(seed)
+    key = lambda top: generator.choice([None, *range(top)])
+    make = lambda n, schema, *tops: spark.createDataFrame(
+        [tuple(str(key(t)) if kind == "string" else key(t) for t, kind in zip(tops, schema.split()[1::2], strict=True))
+         for _ in range(n)], ", ".join(" ".join(p) for p in zip(schema.split()[::2], schema.split()[1::2], strict=True)))
+    return {
+        "sacatalog": make(3, "areasymbol int", 3), "legend": make(5, "areasymbol int lkey int", 4, 5),
+        "mapunit": make(8, "lkey int mukey int", 6, 8),
+        "component": make(14, "mukey int cokey int comppct_r string", 9, 12, 90),
+        "comonth": make(8, "comonthkey int cokey int", 7, 14),
+        "cosoilmoist": make(7, "comonthkey int soimoistdept_r string soimoistdepb_r string", 8, 50, 20),
+        "chorizon": make(16, "cokey int chkey int hzname string claytotal_r string", 14, 9, 5, 60),
+        "chtexturegrp": make(9, "chkey int chtgkey int", 11, 6), "chtexture": make(6, "chtgkey int", 7),
+        "copmgrp": make(6, "cokey int", 14), "corestrictions": make(6, "cokey int", 14),
+    }
+
+
+@pytest.mark.parametrize("comonth_key", ["cokey", "comonthkey"])
+@pytest.mark.parametrize("hot_rows", [2, 100_000])
+def test_outer_chain_equals_plain_joins_in_written_order(spark, monkeypatch, comonth_key, hot_rows):
+    monkeypatch.setattr(soil, "HOT_ROWS", hot_rows)
+    monkeypatch.setattr(soil, "SALTS", 3)
+    tables = _survey(spark, hot_rows)
+    for name, df in tables.items():
+        df.createOrReplaceTempView(f"survey_{name}")
+    plain = spark.sql(f"""SELECT mu.mukey, co.cokey, ch.chkey, comppct_r, claytotal_r, hzname
+        FROM survey_sacatalog sc FULL JOIN survey_legend lg ON sc.areasymbol = lg.areasymbol
+        FULL JOIN survey_mapunit mu ON lg.lkey = mu.lkey FULL JOIN survey_component co ON mu.mukey = co.mukey
+        FULL JOIN survey_comonth cm ON co.cokey = cm.{comonth_key}
+        FULL JOIN survey_cosoilmoist csm ON cm.comonthkey = csm.comonthkey
+        FULL JOIN survey_chorizon ch ON co.cokey = ch.cokey FULL JOIN survey_chtexturegrp ctg ON ch.chkey = ctg.chkey
+        FULL JOIN survey_chtexture ct ON ctg.chtgkey = ct.chtgkey FULL JOIN survey_copmgrp pmg ON co.cokey = pmg.cokey
+        FULL JOIN survey_corestrictions rt ON co.cokey = rt.cokey""")
+    chain = soil.soil_outer_chain(tables, comonth_key).select("mukey", "cokey", "chkey", "prcent", "clay", "hzname")
+    order = lambda df: sorted(map(str, (tuple(r) for r in df.collect())))
+    assert order(chain) == order(plain)
+
+
+def test_outer_chain_shuffles_horizons_twice(spark):
+    """By their own key and by that of their component; their columns then take part in no further shuffle."""
+    chain = soil.soil_outer_chain(_survey(spark, 1)).select("mukey", "cokey", "hzname")
+    plan = spark._jvm.PythonSQLUtils.explainString(chain._jdf.queryExecution(), "formatted")
+    inputs = [step.split("\n")[1] for step in plan.split("\n\n") if re.match(r"\(\d+\) Exchange", step.strip())]
+    assert len(inputs) > 8
+    assert sum("hzname#" in line for line in inputs) == 2
+    assert not any("claytotal" in line or "clay#" in line for line in inputs)
