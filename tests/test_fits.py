@@ -97,6 +97,37 @@ def test_grown_tree_equals_plain_recursion(table, tried):
         assert (forest.unpacked(forest.packed(grown), []).place(rows.x) == grown.place(rows.x)).all()
 
 
+def test_tree_is_the_same_in_blocks_of_any_size(table, monkeypatch):
+    rows = fitting.held_locally(table, 3)
+    weight = forest.draws(rows.key, 1, 42)
+    grown = [forest.grow(rows.x, rows.label, weight, np.ones(3, bool), 2, 5)]
+    for size in (1, 20, 300):
+        monkeypatch.setattr(forest, "BLOCK", size)
+        grown.append(forest.grow(rows.x, rows.label, weight, np.ones(3, bool), 2, 5))
+    assert all(nested(t) == nested(grown[0]) for t in grown)
+    assert all(np.allclose(t.gains, grown[0].gains) for t in grown)
+
+
+def test_eligible_features_are_the_same_for_few_and_many(monkeypatch):
+    paths, varies = forest.hashed(np.arange(500), 3), np.random.default_rng(1).random((500, 6)) < 0.7
+    few = [forest.eligible(paths, varies, tried) for tried in (1, 2, 6)]
+    monkeypatch.setattr(forest, "FEW", 0)
+    for tried, found in zip((1, 2, 6), few, strict=True):
+        assert (found == forest.eligible(paths, varies, tried)).all()
+        assert (found.sum(axis=1) == np.minimum(varies.sum(axis=1), tried)).all()
+
+
+def test_rows_of_small_nodes_are_shuffled_in_blocks(table, monkeypatch):
+    monkeypatch.setattr(forest, "CHUNK", 100)  # rows of several batches meet, and no layout changes the trees
+    tops = forest._Tops(table.repartition(3), JOBS[:1], [np.ones(3, bool)], 2, 42, None, 3 * 60, 256)
+    while any(tops.open.values()):
+        tops._level()
+    grafts = tops._grafts()
+    plan = grafts._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "drawn#" in plan and "label#" not in plan.split("MapInArrow")[0]
+    assert grafts.count() == sum(map(len, tops.finish.values())) > 2
+
+
 def test_trees_have_no_depth_limit():
     x, y = np.arange(300.0)[:, None], np.arange(300) % 2
     grown = forest.grow(x, y, np.ones(300, int), np.array([True]), 1, 7)
