@@ -192,6 +192,36 @@ def test_passes_do_not_grow_with_the_number_of_fits(table, monkeypatch):
     assert len(passes) - alone == alone == 4
 
 
+@pytest.mark.parametrize(("bins", "depth"), [(30, 3), (300, 3), (30, 6)])
+def test_look_ups_place_rows_as_a_walk_does(bins, depth):
+    generator = np.random.default_rng(bins)
+    codes = generator.integers(0, bins, (500, 3)).astype(np.uint16)
+    label = ((codes.sum(axis=1) % 7 < 3) | (codes[:, 0] > bins // 2)).astype(np.int64)
+    _, trees = boosting._boost_rows(codes, label, np.ones(3, bool), bins, 20, depth, 0.1)
+    columns = np.ascontiguousarray(codes.T.astype(boosting.code_type(bins)))
+    steps, margin = boosting._Steps(trees, 0.1, boosting.code_type(bins)), np.zeros(500)
+    for tree in trees:
+        assert (tree.placed(columns) == tree.place(codes)).all()
+        margin = margin + (0.1 * tree.values())[tree.place(codes)]
+    assert (steps.added(np.zeros(500), columns) == margin).all()  # bit by bit, in their order
+
+
+def test_the_smaller_of_two_siblings_is_counted():
+    tree = boosting.Tree(np.array([True]), 3)
+    cells = np.zeros((1, 3, 3), dtype=np.int64)
+    cells[0, :, 0], cells[0, :, 2] = [500, 500, -900], [40, 40, 10]
+    cells[0, :, 0] *= 1 << 30
+    tree.take({0: cells})
+    assert tree.wanted() == [2]  # ten rows to the right of the cut, eighty to the left
+
+
+def test_rows_of_a_table_beyond_the_bound_are_not_sent_to_the_driver(table, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    monkeypatch.setattr(DataFrame, "toArrow", lambda self: pytest.fail("rows were sent"))
+    assert fitting.held_locally(table, 3, cells=3 * 300) is None
+
+
 def test_one_stump_is_the_best_cut(frame):
     rows = [(r["a"], r["b"], r["c"], r["y"]) for r in frame.collect()]
     x, y = np.array([r[:3] for r in rows]), np.array([r[3] for r in rows])
