@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scarpline.operators import boosting, fitting, forest, models, transitions
+from scarpline.operators import blocks, boosting, fitting, forest, models, transitions
 from scarpline.operators.fitting import Job
 
 
@@ -73,3 +73,36 @@ def test_staged_stumps_keep_blocks_of_columns(frame, monkeypatch):
     assert len(kept) == 3 and all(df.count() == 1 for df in kept)
     held = models.adaptive_boosting(5, bins=32)(rows, ["a", "b.c"], "y")
     assert staged.importances == pytest.approx(held.importances, abs=1e-9)
+
+
+def test_rows_are_short_and_exact_in_blocks():
+    generator = np.random.default_rng(5)
+    for n in (1, 2, 3000):
+        columns = [np.round(generator.uniform(-1e5, 1e5, n), 2), generator.integers(0, 25, n), generator.normal(size=n),
+                   generator.choice([0.1, 1 / 3, np.inf, np.nan], n), np.full(n, 7.5), generator.integers(0, 12, n)]
+        for x in (np.column_stack(columns), np.column_stack([columns[0], columns[1], columns[5]])):
+            layout = blocks.Layout.of(x)
+            words = layout.words(x)
+            order = np.argsort(words[0], kind="stable")
+            data = blocks.packed(layout.head(), words[:, order])
+            assert np.array_equal(blocks.unpacked(data), x[order], equal_nan=True)
+    assert len(data) < 5 * 3000  # of 24 bytes a row
+
+
+def test_stored_trees_are_short(frame):
+    table = fitting.training_table(frame, ["a", "b.c"], "y")
+    rows = fitting.held_locally(table, 2)
+    grown = forest.grow(rows.x, rows.label, np.ones(400, int), np.ones(2, bool), 1, 7)
+    kept = forest.unpacked(forest.packed(grown), [])
+    leaf = grown.feature < 0
+    assert (kept.value[leaf] == grown.value[leaf]).all() and (kept.cut[~leaf] == grown.cut[~leaf]).all()
+    assert len(forest.packed(grown)) < 14 * len(grown.feature)
+
+
+def test_rows_and_forest_meet_without_a_shuffle(frame, monkeypatch):
+    monkeypatch.setattr(forest, "MODEL_BYTES", 0)
+    monkeypatch.setattr(forest, "PART_BYTES", 4000)
+    voted = models.random_forest(9)(frame, ["a", "b.c"], "y").predict(frame)
+    plan = voted._jdf.queryExecution().executedPlan().toString()
+    pairs = plan[plan.index("CartesianProduct"):]
+    assert "Exchange" not in pairs.split("Exchange hashpartitioning(__x", 1)[0] and "FlatMapCoGroups" not in plan
