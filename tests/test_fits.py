@@ -128,6 +128,33 @@ def test_rows_of_small_nodes_are_shuffled_in_blocks(table, monkeypatch):
     assert grafts.count() == sum(map(len, tops.finish.values())) > 2
 
 
+def test_cuts_of_tops_are_settled_on_the_values_of_their_node():
+    x = np.array([[1.0, 5.0], [2.0, 5.0], [6.0, 9.0], [7.0, 11.0], [9.0, 30.0]])
+    top = forest.Grown(np.array([0, -1, 1, -1, -1]), np.array([5.5, 0, 10, 0, 0]), np.array([1, 0, 3, 0, 0]),
+                       np.zeros(5), np.zeros(2))
+    node = top.place(x)
+    ends = np.array([[[x[node == k, f].min(initial=np.inf), x[node == k, f].max(initial=-np.inf)] for f in (0, 1)]
+                     for k in range(5)])
+    settled = forest._settled(top, ends.tobytes())
+    assert settled.cut.tolist() == [4.0, 0, 10.0, 0, 0] and (settled.place(x) == node).all()
+
+
+def test_a_task_sends_one_row_of_counts_per_node(table, monkeypatch):
+    monkeypatch.setattr(forest, "CHUNK", 50)
+    tops = forest._Tops(table.coalesce(1), JOBS[:2], [np.ones(3, bool)] * 2, 3, 42, None, 3 * 60, 256)
+    assert "counts#" in _counted_plan(tops, monkeypatch)
+
+
+def _counted_plan(tops, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    plans, arrow = [], DataFrame.toArrow
+    monkeypatch.setattr(DataFrame, "toArrow", lambda self: plans.append(
+        self._jdf.queryExecution().optimizedPlan().toString()) or arrow(self))
+    tops._level()
+    return plans[0]
+
+
 def test_trees_have_no_depth_limit():
     x, y = np.arange(300.0)[:, None], np.arange(300) % 2
     grown = forest.grow(x, y, np.ones(300, int), np.array([True]), 1, 7)
